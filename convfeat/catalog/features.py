@@ -113,9 +113,8 @@ def oob_report(spark, sf_dir):
 )
 def item_hash(spark, sf_dir):
     """Item ids hashed into 7 and into the default number of buckets."""
-    item = F.col("item_id")
-    return samples(spark, sf_dir).select(
-        "sample_id", "item_id", hash_item(item, 7).alias("small_hash"), hash_item(item).alias("full_hash")
+    return samples(spark, sf_dir).selectExpr(
+        "sample_id", "item_id", f"{hash_item('item_id', 7)} AS small_hash", f"{hash_item('item_id')} AS full_hash"
     )
 
 
@@ -128,7 +127,8 @@ FROM samples""",
 def seq_hash(spark, sf_dir):
     """Ids of a large sequence feature hashed into 500 buckets."""
     ids = converted(spark, sf_dir, "seq").select("sample_id", "seq_b_69")
-    return ids.select("sample_id", ids_text(F.transform("seq_b_69", lambda x: hash_seq(x, 500))).alias("hashed_69"))
+    hashed = A.mapped("seq_b_69", lambda x: hash_seq(x, 500))
+    return ids.select("sample_id", ids_text(hashed).alias("hashed_69"))
 
 
 ALLOWED = "seq_b:69,seq_c:29"
@@ -142,15 +142,15 @@ ALLOWED = "seq_b:69,seq_c:29"
 def routed_ids(spark, sf_dir):
     """Lookup keys by route: own table, hash table, or none for large and for unsized features."""
     allow = parse_hash_allowlist(ALLOWED)
-    raw = {"seq_a_101": F.col("k"), "seq_b_69": F.col("event_id") + 1, "seq_c_34": F.col("cents"), "seq_d_104": F.col("k")}
+    raw = {"seq_a_101": "k", "seq_b_69": "(event_id + 1)", "seq_c_34": "cents", "seq_d_104": "k"}
     columns = []
     for domain in LAYOUT.domains:
         for fid, vocab in domain.side_features:
             name = f"{domain.name}_{fid}"
             if name in raw:
                 route = route_feature(domain.name, fid, vocab, 1_000_000, 500, allow)
-                columns.append(routed_id(raw[name], route, 500).alias(name))
-    return event_facts(spark, sf_dir).select("event_id", *columns)
+                columns.append(f"{routed_id(raw[name], route, 500)} AS {name}")
+    return event_facts(spark, sf_dir).selectExpr("event_id", *columns)
 
 
 # ---- lists ------------------------------------------------------------------------
@@ -164,13 +164,13 @@ def routed_ids(spark, sf_dir):
 )
 def pad_ids(spark, sf_dir):
     """Lists cut or filled to five ids, and their lengths."""
-    orders, item = F.col("user_int_feats_60"), F.col("item_int_feats_16")
+    orders, item = "user_int_feats_60", "item_int_feats_16"
     return samples(spark, sf_dir, ("user", "item")).select(
         "sample_id",
         ids_text(A.pad_ids(orders, 5)).alias("orders_5"),
-        A.valid_length(orders, 5).alias("orders_len"),
+        F.expr(A.valid_length(orders, 5)).alias("orders_len"),
         ids_text(A.pad_ids(item, 5)).alias("item_5"),
-        A.valid_length(item, 5).alias("item_len"),
+        F.expr(A.valid_length(item, 5)).alias("item_len"),
     )
 
 
@@ -183,8 +183,8 @@ def pad_floats(spark, sf_dir):
     """Dense lists cut or filled to their declared width."""
     return samples(spark, sf_dir, ("dense",)).select(
         "sample_id",
-        vec_text(A.pad_floats(F.col("user_dense_feats_62"), 8), 100).alias("totals_8"),
-        vec_text(A.pad_floats(F.col("user_dense_feats_89"), 6)).alias("ratios_6"),
+        vec_text(A.pad_floats("user_dense_feats_62", 8), 100).alias("totals_8"),
+        vec_text(A.pad_floats("user_dense_feats_89", 6)).alias("ratios_6"),
     )
 
 
@@ -267,7 +267,7 @@ def padding_mask(spark, sf_dir):
     df = converted(spark, sf_dir, "seq")
 
     def flags(length, n):
-        return ids_text(F.transform(A.padding_mask(F.col(length), n), lambda b: b.cast("int")))
+        return ids_text(A.mapped(A.padding_mask(length, n), lambda b: f"int({b})"))
 
     return df.select("sample_id", flags("seq_a_len", 8).alias("mask_a"), flags("seq_c_len", 16).alias("mask_c"))
 
@@ -283,8 +283,8 @@ def latest_k(spark, sf_dir):
     df = converted(spark, sf_dir, "seq")
     return df.select(
         "sample_id",
-        ids_text(A.latest_k(F.col("seq_a_101"), F.col("seq_a_len"), 3)).alias("last_views"),
-        ids_text(A.latest_k(F.col("seq_c_103"), F.col("seq_c_len"), 4)).alias("last_purchases"),
+        ids_text(A.latest_k("seq_a_101", "seq_a_len", 3)).alias("last_views"),
+        ids_text(A.latest_k("seq_c_103", "seq_c_len", 4)).alias("last_purchases"),
     )
 
 
@@ -303,14 +303,14 @@ SELECT sample_id, {sql_ids(FLAT_USER)} AS user_vector, {sql_ids(FLAT_ITEM)} AS i
 )
 def flat_layout(spark, sf_dir):
     """All id features of a side at fixed offsets, and one feature cut out again."""
-    df = converted(spark, sf_dir, "user", "item").select(
-        "sample_id", flat_vector(LAYOUT, "user").alias("u"), flat_vector(LAYOUT, "item").alias("i")
+    df = converted(spark, sf_dir, "user", "item").selectExpr(
+        "sample_id", f"{flat_vector(LAYOUT, 'user')} AS u", f"{flat_vector(LAYOUT, 'item')} AS i"
     )
     return df.select(
         "sample_id",
         ids_text("u").alias("user_vector"),
         ids_text("i").alias("item_vector"),
-        ids_text(A.feature_slice(F.col("u"), LAYOUT.spans("user")[60])).alias("slice_60"),
+        ids_text(A.feature_slice("u", LAYOUT.spans("user")[60])).alias("slice_60"),
     )
 
 
@@ -338,8 +338,8 @@ def group_concat_query(spark, sf_dir):
 )
 def chunk_pad(spark, sf_dir):
     """Vectors zero-filled and cut into five equal chunks."""
-    df = table(spark, sf_dir, "embeddings").select("vec_id", A.chunk_pad(F.col("embedding"), 64, 5).alias("c"))
-    return df.select("vec_id", *[vec_text(F.get("c", F.lit(i))).alias(f"chunk_{i}") for i in range(5)])
+    df = table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"{A.chunk_pad('embedding', 64, 5)} AS c")
+    return df.select("vec_id", *[vec_text(f"get(c, {i})").alias(f"chunk_{i}") for i in range(5)])
 
 
 @query(
@@ -350,10 +350,10 @@ SELECT sample_id, {sql_vec("x[1:6]")} AS segment_0, {sql_vec("list_resize(x[7:10
 )
 def segments(spark, sf_dir):
     """Two trend features of unequal length stacked to the longer one."""
-    df = converted(spark, sf_dir, "dense").select(
-        "sample_id", A.stack_segments(F.concat("user_dense_feats_89", "user_dense_feats_90"), [6, 4]).alias("s")
+    df = converted(spark, sf_dir, "dense").selectExpr(
+        "sample_id", A.stack_segments("concat(user_dense_feats_89, user_dense_feats_90)", [6, 4]) + " AS s"
     )
-    return df.select("sample_id", *[vec_text(F.get("s", F.lit(i))).alias(f"segment_{i}") for i in range(2)])
+    return df.select("sample_id", *[vec_text(f"get(s, {i})").alias(f"segment_{i}") for i in range(2)])
 
 
 # ---- dense scaling ------------------------------------------------------------------
@@ -390,14 +390,14 @@ SELECT event_id, {sql_vec(_finite_sql("1000", "-1000"))} AS finite FROM v""",
 def dense_clean(spark, sf_dir):
     """NaN and infinities replaced."""
     df = _odd_vectors(spark, sf_dir)
-    return df.select("event_id", vec_text(D.nan_to_num(F.col("x"), 0.0, 1000.0, -1000.0)).alias("finite"))
+    return df.select("event_id", vec_text(D.nan_to_num("x", 0.0, 1000.0, -1000.0)).alias("finite"))
 
 
 @query("dense_l2", f"SELECT vec_id, {sql_vec(S.l2('embedding::double[]'))} AS unit FROM embeddings")
 def dense_l2(spark, sf_dir):
     """Vectors scaled to unit length."""
     df = table(spark, sf_dir, "embeddings")
-    return df.select("vec_id", vec_text(D.l2_normalize(F.col("embedding").cast("array<double>"))).alias("unit"))
+    return df.select("vec_id", vec_text(D.l2_normalize("embedding")).alias("unit"))
 
 
 @query(
@@ -408,7 +408,7 @@ SELECT event_id, {sql_vec(S.log_clamp("y"))} AS logs FROM f""",
 )
 def dense_log_clamp(spark, sf_dir):
     """Clamped logarithms of raw statistics."""
-    return _odd_vectors(spark, sf_dir).select("event_id", vec_text(D.log_clamp(F.col("x"))).alias("logs"))
+    return _odd_vectors(spark, sf_dir).select("event_id", vec_text(D.log_clamp("x")).alias("logs"))
 
 
 @query(
@@ -420,7 +420,7 @@ SELECT event_id, {sql_vec("list_transform(y, lambda v: v / sqrt(1 + (v / 3) * (v
 def smooth_clip(spark, sf_dir):
     """Smoothly clipped, then scaled and shifted values."""
     df = _odd_vectors(spark, sf_dir)
-    return df.select("event_id", vec_text(D.smooth_clip(F.col("x"), 3.0, 2.0, 1.0)).alias("clipped"))
+    return df.select("event_id", vec_text(D.smooth_clip("x", 3.0, 2.0, 1.0)).alias("clipped"))
 
 
 @query(
@@ -438,5 +438,5 @@ def dense_groups_query(spark, sf_dir):
         "sample_id",
         vec_text("dense_embedding").alias("embedding_group"),
         vec_text("dense_statistic").alias("statistic_group"),
-        vec_text(F.flatten("dense_trend")).alias("trend_group"),
+        vec_text("flatten(dense_trend)").alias("trend_group"),
     )

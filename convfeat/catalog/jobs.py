@@ -40,7 +40,7 @@ def _raw(spark, sf_dir):
 @query("fit_score")
 def fit_score(spark, sf_dir):
     """Fit on the latest 90 %, score every sample."""
-    raw = samples(spark, sf_dir, ("user", "item", "dense"))
+    raw = spark.read.parquet(_raw(spark, sf_dir))
     train, _ = split_overlap_tail(raw, 0.90, 0.016)
     model = fit_conversion(model_input(convert(train, MODEL_LAYOUT), MODEL_LAYOUT), alpha=0.4, **FIT)
     every = model_input(convert(raw, MODEL_LAYOUT, keep=("sample_id",)), MODEL_LAYOUT)

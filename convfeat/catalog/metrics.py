@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from convfeat.catalog import sql as S
 from convfeat.catalog.registry import query, rounded, sql_rounded
 from convfeat.fixtures.samples import event_facts, samples, seconds, table
-from convfeat.functions.ids import long
 from convfeat.functions.scoring import sigmoid
 from convfeat.operators import metrics as M
 from convfeat.operators.predictions import last_per_user
@@ -188,7 +187,7 @@ def epoch_loss_query(spark, sf_dir):
     """Average loss per run and epoch (here: user and day)."""
     losses = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
-        (F.floor((seconds() - long(1704067200)) / 86400) + 1).alias("epoch"),
+        (F.floor((seconds() - 1704067200) / 86400) + 1).alias("epoch"),
         F.col("value").alias("loss"),
     )
     return epoch_loss(losses).withColumn("mean_loss", rounded(F.col("mean_loss")))

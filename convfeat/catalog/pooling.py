@@ -20,6 +20,7 @@ from convfeat.operators.pooling import (
     sequence_tokens,
 )
 from convfeat.operators.selection import recent_thresholds
+from convfeat.session import stored
 
 W = 8  # width of the id vectors in these queries
 GATE = -0.75
@@ -216,7 +217,10 @@ matched AS (
 
 def matched(spark, sf_dir):
     table_ = vectors(spark, sf_dir)
-    df = with_query(converted(spark, sf_dir, "user", "item", "seq"), spark, sf_dir)
+    read = ["sample_id", "timestamp", "label", "user_int_feats_60", "query"]
+    read += ["seq_a_101", "seq_a_len", "seq_c_103", "seq_c_len"]
+    features = with_query(converted(spark, sf_dir, "user", "item", "seq"), spark, sf_dir)
+    df = stored(features.select(*read), "features")
     tokens = {
         d.name: sequence_tokens(
             df, "sample_id", d.name, {d.side_features[0][0]: TokenSource("table", table_)}, W, carry=["query"]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convfeat.functions.arrays import mapped
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,14 +28,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # ---- lists and rounded numbers as text, the same in both engines ----------------
 
 
-def ids_text(ids: Column | str) -> Column:
-    column = F.col(ids) if isinstance(ids, str) else ids
-    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+def ids_text(ids: str) -> Column:
+    return F.expr(f"array_join({mapped(ids, lambda x: f'string({x})')}, ',')")
 
 
-def vec_text(vector: Column | str, scale: int = 1_000_000) -> Column:
-    column = F.col(vector) if isinstance(vector, str) else vector
-    return ids_text(F.transform(column, lambda x: F.floor(x * float(scale) + 0.5).cast("long")))
+def vec_text(vector: str, scale: int = 1_000_000) -> Column:
+    return ids_text(mapped(vector, lambda x: f"bigint(floor({x} * double({scale}) + 0.5D))"))
 
 
 def rounded(x: Column, scale: int = 1_000_000) -> Column:

@@ -39,9 +39,8 @@ def periodic_time(spark, sf_dir):
     """Conversion rate by calendar ids over the latest 90 % of the events."""
     events = table(spark, sf_dir, "events").select(seconds().alias("timestamp"), "event_type")
     recent = filter_recent(events, recent_threshold(events, KEEP_TRAIN))
-    ts = F.col("timestamp")
-    clock = zip(("hour_id", "day_id", "weekend_id", "daypart_id"), C.sample_clock(ts))
-    grouped = recent.groupBy(*[c.alias(name) for name, c in clock]).agg(
+    clock = zip(("hour_id", "day_id", "weekend_id", "daypart_id"), C.sample_clock("timestamp"))
+    grouped = recent.groupBy(*[F.expr(text).alias(name) for name, text in clock]).agg(
         F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("conversions")
     )
     return grouped.withColumn("conversion_rate", rounded(F.col("conversions") / F.col("events")))
@@ -57,15 +56,14 @@ FROM facts""",
 )
 def time_bucket(spark, sf_dir):
     """Gap buckets of ordinary, future, missing and negative event times."""
-    sec, k = F.col("sec"), F.col("k")
-    odd = F.when(k % 10 == 0, 0).when(k % 10 == 1, -k).otherwise(sec - k)
-    facts = event_facts(spark, sf_dir).select("event_id", "sec", "k", odd.alias("odd"))
-    return facts.select(
+    odd = "CASE WHEN k % 10 = 0 THEN 0 WHEN k % 10 = 1 THEN -k ELSE sec - k END"
+    facts = event_facts(spark, sf_dir).selectExpr("event_id", "sec", "k", f"{odd} AS odd")
+    return facts.selectExpr(
         "event_id",
-        C.time_bucket(F.lit(1706745600), sec).alias("to_month_end"),
-        C.time_bucket(sec, sec - k * k * 400).alias("spread"),
-        C.time_bucket(sec, sec + k).alias("future"),
-        C.time_bucket(sec, F.col("odd")).alias("missing"),
+        f"{C.time_bucket('1706745600', 'sec')} AS to_month_end",
+        f"{C.time_bucket('sec', '(sec - k * k * 400)')} AS spread",
+        f"{C.time_bucket('sec', '(sec + k)')} AS future",
+        f"{C.time_bucket('sec', 'odd')} AS missing",
     )
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convfeat.fixtures.history import with_histories
-from convfeat.functions.ids import long
 from convfeat.layout import DenseFeature, FeatureLayout, IdFeature, SequenceDomain
+from convfeat.session import spread
 
 # Market segments in name order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -78,7 +78,7 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return lists.join(top, "o_custkey").select(
         F.col("o_custkey").alias("user_id"),
-        F.transform("l", lambda x: F.pmod(x["o_orderkey"], long(200))).alias("order_ids"),
+        F.transform("l", lambda x: F.pmod(x["o_orderkey"], F.lit(200))).alias("order_ids"),
         F.transform("l", lambda x: x["o_totalprice"]).alias("order_totals"),
         F.transform("l", lambda x: x["o_totalprice"] / F.col("top_total")).alias("order_ratios"),
     )
@@ -114,6 +114,8 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
             listed("seq_d", lambda e: e["k"]).alias("seq_d_104"),
         ]
     rows = facts.filter(F.col("event_type").isin("click", "purchase", "view")).select(*columns)
+    if parts and "seq" not in parts:
+        rows = spread(rows, "sample_id")
     if "user" in parts:
         customers = table(spark, sf_dir, "customer").select(
             F.col("c_custkey").alias("user_id"),
@@ -144,7 +146,7 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
             F.col("p_partkey").alias("k"),
             size.alias("item_int_feats_5"),
             F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("item_int_feats_11"),
-            F.array(size, long(-1), size * 2).alias("item_int_feats_16"),
+            F.array(size, F.lit(-1), size * 2).alias("item_int_feats_16"),
         )
         rows = rows.join(items, "k", "left")
     return rows

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from convfeat.functions.ids import long
-
 # Local time is a constant shift from UTC, without daylight saving.
 LOCAL_SHIFT = 28_800
 DAY = 86_400
@@ -27,52 +22,55 @@ GAP_EDGES = (
 GAP_BUCKETS = len(GAP_EDGES) + 1
 
 
-def hour_id(ts: Column) -> Column:
+def _of_day(ts: str) -> str:
+    return f"pmod({ts} + {LOCAL_SHIFT}, {DAY}L)"
+
+
+def hour_id(ts: str) -> str:
     """1..24."""
-    return F.floor(F.pmod(ts + LOCAL_SHIFT, long(DAY)) / 3600) + 1
+    return f"({_of_day(ts)} div 3600 + 1)"
 
 
-def day_id(ts: Column) -> Column:
+def day_id(ts: str) -> str:
     """1..7, Monday = 1."""
-    return F.pmod(F.floor((ts + LOCAL_SHIFT) / DAY) + 3, long(7)) + 1
+    return f"(pmod(({ts} + {LOCAL_SHIFT} - {_of_day(ts)}) div {DAY} + 3, 7L) + 1)"
 
 
-def weekend_id(ts: Column) -> Column:
+def weekend_id(ts: str) -> str:
     """1 = working day, 2 = weekend."""
-    return F.when(day_id(ts) >= 6, long(2)).otherwise(long(1))
+    return f"CASE WHEN {day_id(ts)} >= 6 THEN 2L ELSE 1L END"
 
 
-def daypart_id(ts: Column) -> Column:
+def daypart_id(ts: str) -> str:
     """1..4: night, morning, afternoon, evening."""
-    return F.floor(F.pmod(ts + LOCAL_SHIFT, long(DAY)) / 21_600) + 1
+    return f"({_of_day(ts)} div 21600 + 1)"
 
 
-def sample_clock(ts: Column) -> list[Column]:
+def sample_clock(ts: str) -> list[str]:
     return [hour_id(ts), day_id(ts), weekend_id(ts), daypart_id(ts)]
 
 
-def _bucket_of(gap: Column, low: int, high: int) -> Column:
+def _bucket_of(gap: str, low: int, high: int) -> str:
     """Binary decision over the edges: how many of ``GAP_EDGES[low:high]`` lie below, plus low + 1."""
     if low == high:
-        return long(low + 1)
+        return f"{low + 1}L"
     middle = (low + high) // 2
-    return F.when(gap <= GAP_EDGES[middle], _bucket_of(gap, low, middle)).otherwise(
-        _bucket_of(gap, middle + 1, high)
-    )
+    below, above = _bucket_of(gap, low, middle), _bucket_of(gap, middle + 1, high)
+    return f"CASE WHEN {gap} <= {GAP_EDGES[middle]} THEN {below} ELSE {above} END"
 
 
-def time_bucket(sample_ts: Column, event_ts: Column) -> Column:
+def time_bucket(sample_ts: str, event_ts: str) -> str:
     """0 for a missing (zero) event time, else 1..63 growing with the gap; future events count as gap 0.
 
     The last edge never opens a bucket of its own: everything beyond the one before it shares 63.
     """
-    gap = sample_ts - event_ts
-    return F.when(event_ts == 0, long(0)).otherwise(_bucket_of(gap, 0, len(GAP_EDGES) - 1))
+    found = _bucket_of(f"({sample_ts} - {event_ts})", 0, len(GAP_EDGES) - 1)
+    return f"CASE WHEN {event_ts} = 0 THEN 0L ELSE {found} END"
 
 
-def event_hour(ts: Column) -> Column:
-    return F.when(ts > 0, hour_id(ts)).otherwise(long(0))
+def event_hour(ts: str) -> str:
+    return f"CASE WHEN {ts} > 0 THEN {hour_id(ts)} ELSE 0L END"
 
 
-def event_day(ts: Column) -> Column:
-    return F.when(ts > 0, day_id(ts)).otherwise(long(0))
+def event_day(ts: str) -> str:
+    return f"CASE WHEN {ts} > 0 THEN {day_id(ts)} ELSE 0L END"

@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from convfeat.layout import ITEM_HASH_BUCKETS
 
 
-def long(value: int) -> Column:
-    return F.lit(value).cast("long")
-
-
-def clean_id(c: Column) -> Column:
+def clean_id(x: str) -> str:
     """Missing (null, zero or negative) -> 0."""
-    return F.greatest(c.cast("long"), long(0))
+    return f"greatest(bigint({x}), 0L)"
 
 
-def clip_vocab(c: Column, vocab: int, mode: str = "clip", name: str = "id") -> Column:
+def clip_vocab(x: str, vocab: int, mode: str = "clip", name: str = "id") -> str:
     """Ids from ``vocab`` upwards become 0, or fail the job; no vocabulary forces 0."""
     if mode not in ("clip", "raise"):
         raise ValueError(f"unknown mode {mode!r}")
     if vocab <= 0:
-        return long(0)
-    beyond = c >= vocab
-    if mode == "clip":
-        return F.when(beyond, long(0)).otherwise(c)
-    message = F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(f" is not in [0, {vocab})"))
-    return F.when(beyond, F.raise_error(message).cast("long")).otherwise(c)
+        return "0L"
+    beyond = "0L"
+    if mode == "raise":
+        beyond = f"bigint(raise_error(concat('{name}: ', string({x}), ' is not in [0, {vocab})')))"
+    return f"CASE WHEN {x} >= {vocab} THEN {beyond} ELSE {x} END"
 
 
-def hash_item(c: Column, buckets: int = ITEM_HASH_BUCKETS) -> Column:
+def hash_item(x: str, buckets: int = ITEM_HASH_BUCKETS) -> str:
     """Item id -> 1..buckets; missing -> 0."""
-    return F.when(c > 0, F.pmod(c - 1, long(buckets)) + 1).otherwise(long(0))
+    return f"CASE WHEN {x} > 0 THEN pmod({x} - 1, {buckets}L) + 1 ELSE 0L END"
 
 
-def hash_seq(c: Column, buckets: int) -> Column:
+def hash_seq(x: str, buckets: int) -> str:
     """Sequence id -> 1..buckets (a different rule from items); missing -> 0."""
-    return F.when(c > 0, F.pmod(c, long(buckets)) + 1).otherwise(long(0))
+    return f"CASE WHEN {x} > 0 THEN pmod({x}, {buckets}L) + 1 ELSE 0L END"
 
 
 def route_feature(
@@ -56,10 +48,10 @@ def route_feature(
     return "hash" if oversized and hash_buckets > 0 and allowed else "zero"
 
 
-def routed_id(c: Column, route: str, hash_buckets: int) -> Column:
+def routed_id(x: str, route: str, hash_buckets: int) -> str:
     """The key to look up under a route of :func:`route_feature`."""
     if route == "table":
-        return c
+        return x
     if route == "hash":
-        return hash_seq(c, hash_buckets)
-    return long(0)
+        return hash_seq(x, hash_buckets)
+    return "0L"

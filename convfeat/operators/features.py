@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convfeat.functions import arrays as A
 from convfeat.functions import calendar as C
 from convfeat.functions import dense as D
-from convfeat.functions.ids import clean_id, clip_vocab, hash_item, long
+from convfeat.functions.ids import clean_id, clip_vocab, hash_item
 from convfeat.layout import (
     EVENT_DAY_FID,
     EVENT_HOUR_FID,
@@ -34,121 +36,123 @@ def project_layout(df: DataFrame, layout: FeatureLayout, keep: tuple[str, ...] =
     return df.select(*[name for name in wanted if name in df.columns])
 
 
-def id_feature(side: str, feature: IdFeature, mode: str = "clip") -> Column:
+def id_feature(side: str, feature: IdFeature, mode: str = "clip") -> str:
     """A cleaned, clipped id, or list of ``dim`` ids."""
     name = FeatureLayout.id_column(side, feature.fid)
-    raw = F.col(name)
     if feature.dim == 1:
-        return clip_vocab(clean_id(raw), feature.vocab, mode, name)
-    return A.pad_ids(raw, feature.dim, lambda x: clip_vocab(x, feature.vocab, mode, name))
+        return clip_vocab(clean_id(name), feature.vocab, mode, name)
+    return A.pad_ids(name, feature.dim, lambda x: clip_vocab(x, feature.vocab, mode, name))
 
 
-def sequence_length(domain: SequenceDomain) -> Column:
+def sequence_length(domain: SequenceDomain) -> str:
     """Longest side list after truncation; zeroed elements count, the time column does not."""
-    lengths = [A.valid_length(F.col(domain.column(fid)), domain.max_len) for fid, _ in domain.side_features]
-    if not lengths:
-        return F.lit(0)
-    return F.greatest(*lengths, F.lit(0))
+    lengths = [A.valid_length(domain.column(fid), domain.max_len) for fid, _ in domain.side_features]
+    return f"greatest({', '.join([*lengths, '0'])})" if lengths else "0"
 
 
-def sequence_pack(domain: SequenceDomain, mode: str = "clip") -> list[Column]:
+def sequence_pack(domain: SequenceDomain, mode: str = "clip") -> dict[str, str]:
     """Padded side lists ``<domain>_<fid>`` and ``<domain>_len``."""
-    columns = []
+    packed = {}
     for fid, vocab in domain.side_features:
-        name = domain.column(fid)
-        packed = A.pad_ids(
-            F.col(name), domain.max_len, lambda x, vocab=vocab, name=name: clip_vocab(x, vocab, mode, name)
+        source = domain.column(fid)
+        packed[f"{domain.name}_{fid}"] = A.pad_ids(
+            source, domain.max_len, partial(clip_vocab, vocab=vocab, mode=mode, name=source)
         )
-        columns.append(packed.alias(f"{domain.name}_{fid}"))
-    return [*columns, sequence_length(domain).alias(f"{domain.name}_len")]
+    return {**packed, f"{domain.name}_len": sequence_length(domain)}
 
 
-def sequence_time_buckets(domain: SequenceDomain, sample_ts: Column) -> Column:
+def sequence_time_buckets(domain: SequenceDomain, sample_ts: str) -> str:
     """Gap bucket of every event; 0 on padding and in a domain without times."""
     if domain.ts_fid is None:
-        return F.array_repeat(long(0), domain.max_len)
-    times = A.pad_raw(F.col(domain.column(domain.ts_fid)), domain.max_len)
-    return F.transform(times, lambda t: C.time_bucket(sample_ts, t))
+        return f"array_repeat(0L, {domain.max_len})"
+    times = A.pad_raw(domain.column(domain.ts_fid), domain.max_len)
+    return A.mapped(times, lambda t: C.time_bucket(sample_ts, t))
 
 
-def sequence_hour_day(domain: SequenceDomain) -> tuple[Column, Column]:
+def sequence_hour_day(domain: SequenceDomain) -> tuple[str, str]:
     """Local hour and weekday of every event; 0 behind the valid length and for missing times."""
     if domain.ts_fid is None:
-        empty = F.array_repeat(long(0), domain.max_len)
+        empty = f"array_repeat(0L, {domain.max_len})"
         return empty, empty
-    times = F.col(domain.column(domain.ts_fid))
-
-    def on_valid(fn):
-        return A.let(
-            sequence_length(domain),
-            lambda length: F.transform(
-                A.pad_raw(times, domain.max_len),
-                lambda t, i: F.when(i < length, fn(t)).otherwise(long(0)),
-            ),
-        )
+    times = domain.column(domain.ts_fid)
+
+    def on_valid(of: Callable[[str], str]) -> str:
+        # The list of times cut to the valid length pads to zeros, and zeros stay zeros.
+        valid = f"slice({times}, 1, {sequence_length(domain)})"
+        return A.let(valid, lambda v: A.mapped(A.pad_raw(v, domain.max_len), of))
 
     return on_valid(C.event_hour), on_valid(C.event_day)
 
 
-def convert(
-    df: DataFrame,
-    layout: FeatureLayout,
-    training: bool = True,
-    mode: str = "clip",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """All features of the layout in one projection; ``keep`` names columns passed through."""
-    ts = F.coalesce(F.col("timestamp"), long(0))
-    label = label_of(F.col("label_type") if "label_type" in df.columns else F.lit(None), training)
-    columns = [F.col(name) for name in keep if name not in ("timestamp", "user_id", "label")]
-    columns += [F.col("user_id"), ts.alias("timestamp"), label.alias("label")]
+def feature_expressions(layout: FeatureLayout, mode: str = "clip") -> dict[str, str]:
+    """Name -> SQL text of every feature of the layout over raw samples."""
+    found: dict[str, str] = {}
     for feature in layout.user_ids:
-        columns.append(id_feature("user", feature, mode).alias(layout.id_column("user", feature.fid)))
+        found[layout.id_column("user", feature.fid)] = id_feature("user", feature, mode)
+    ts = "coalesce(timestamp, 0L)"
     if layout.sample_clock:
         for fid, value in zip(SAMPLE_CLOCK_FIDS, C.sample_clock(ts)):
-            columns.append(value.alias(layout.id_column("user", fid)))
+            found[layout.id_column("user", fid)] = value
     for feature in layout.item_ids:
-        columns.append(id_feature("item", feature, mode).alias(layout.id_column("item", feature.fid)))
+        found[layout.id_column("item", feature.fid)] = id_feature("item", feature, mode)
     if layout.item_buckets:
-        hashed = hash_item(F.col("item_id"), layout.item_buckets)
-        columns.append(hashed.alias(layout.id_column("item", ITEM_HASH_FID)))
+        found[layout.id_column("item", ITEM_HASH_FID)] = hash_item("item_id", layout.item_buckets)
     for feature in layout.user_dense:
         name = layout.dense_column(feature.fid)
-        columns.append(A.pad_floats(F.col(name), feature.dim).alias(name))
+        found[name] = A.pad_floats(name, feature.dim)
     for domain in layout.domains:
-        columns += sequence_pack(domain, mode)
-        columns.append(sequence_time_buckets(domain, ts).alias(f"{domain.name}_time_bucket"))
+        found.update(sequence_pack(domain, mode))
+        found[f"{domain.name}_time_bucket"] = sequence_time_buckets(domain, ts)
         if layout.event_clock:
             hours, days = sequence_hour_day(domain)
-            columns.append(hours.alias(f"{domain.name}_{EVENT_HOUR_FID}"))
-            columns.append(days.alias(f"{domain.name}_{EVENT_DAY_FID}"))
-    return df.select(*columns)
+            found[f"{domain.name}_{EVENT_HOUR_FID}"] = hours
+            found[f"{domain.name}_{EVENT_DAY_FID}"] = days
+    return found
+
+
+def convert(
+    df: DataFrame,
+    layout: FeatureLayout,
+    training: bool = True,
+    mode: str = "clip",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """All features of the layout in one projection; ``keep`` names columns passed through."""
+    kept = [name for name in keep if name not in ("timestamp", "user_id", "label")]
+    has_label = training and "label_type" in df.columns
+    return df.select(
+        *kept,
+        "user_id",
+        F.expr("coalesce(timestamp, 0L)").alias("timestamp"),
+        label_of(F.col("label_type") if has_label else F.lit(None), has_label).alias("label"),
+        *[F.expr(text).alias(name) for name, text in feature_expressions(layout, mode).items()],
+    )
 
 
 # ---- flat vectors and groups over converted samples ---------------------------
 
 
-def _as_list(layout: FeatureLayout, side: str, feature: IdFeature) -> Column:
-    column = F.col(layout.id_column(side, feature.fid))
-    return column if feature.dim > 1 else F.array(column)
+def as_list(layout: FeatureLayout, side: str, feature: IdFeature) -> str:
+    column = layout.id_column(side, feature.fid)
+    return column if feature.dim > 1 else f"array({column})"
 
 
-def flat_vector(layout: FeatureLayout, side: str) -> Column:
+def flat_vector(layout: FeatureLayout, side: str) -> str:
     """All features of ``user``, ``item`` or ``dense`` as one list at the layout's offsets."""
     if side == "dense":
-        return F.concat(*[F.col(layout.dense_column(f.fid)) for f in layout.user_dense])
-    return F.concat(*[_as_list(layout, side, f) for f in layout.side_features(side)])
+        return A.joined([layout.dense_column(f.fid) for f in layout.user_dense])
+    return A.joined([as_list(layout, side, f) for f in layout.side_features(side)])
 
 
 def flatten_layout(df: DataFrame, layout: FeatureLayout, side: str, name: str) -> DataFrame:
-    return df.withColumn(name, flat_vector(layout, side))
+    return df.withColumn(name, F.expr(flat_vector(layout, side)))
 
 
-def group_vectors(layout: FeatureLayout, side: str) -> list[Column]:
+def group_vectors(layout: FeatureLayout, side: str) -> list[str]:
     """One list per feature group: the ids of its features in group order."""
     features = {f.fid: f for f in layout.side_features(side)}
     return [
-        F.concat(*[_as_list(layout, side, features[fid]) for fid in group])
+        A.joined([as_list(layout, side, features[fid]) for fid in group])
         for group in layout.feature_groups(side)
     ]
 
@@ -156,7 +160,7 @@ def group_vectors(layout: FeatureLayout, side: str) -> list[Column]:
 def group_concat(df: DataFrame, layout: FeatureLayout, side: str) -> DataFrame:
     """Columns ``<side>_group_<n>`` added, numbered from 1."""
     vectors = group_vectors(layout, side)
-    return df.select("*", *[v.alias(f"{side}_group_{i}") for i, v in enumerate(vectors, 1)])
+    return df.select("*", *[F.expr(v).alias(f"{side}_group_{i}") for i, v in enumerate(vectors, 1)])
 
 
 def dense_groups(
@@ -181,17 +185,16 @@ def dense_groups(
             log.warning("dense group %s skips absent features %s", group, absent)
         return [fid for fid in fids if fid in declared]
 
-    def column(fid: int) -> Column:
-        return F.col(layout.dense_column(fid))
-
-    units = [D.l2_normalize(column(fid)) for fid in present(embedding, "embedding")]
-    logs = [D.log_clamp(column(fid), log_top) for fid in present(statistic, "statistic")]
+    units = [D.l2_normalize(layout.dense_column(fid)) for fid in present(embedding, "embedding")]
+    logs = [D.log_clamp(layout.dense_column(fid), log_top) for fid in present(statistic, "statistic")]
     shapes = present(trend, "trend")
-    stacked = A.stack_segments(F.concat(*map(column, shapes)), [declared[fid].dim for fid in shapes]) if shapes else None
-    zero = F.array(F.lit(0.0))
+    stacked = "array(array(0D))"
+    if shapes:
+        lengths = [declared[fid].dim for fid in shapes]
+        stacked = A.stack_segments(A.joined([layout.dense_column(fid) for fid in shapes]), lengths)
     return df.select(
         "*",
-        (F.concat(*units) if units else zero).alias("dense_embedding"),
-        (F.concat(*logs) if logs else zero).alias("dense_statistic"),
-        (stacked if shapes else F.array(zero)).alias("dense_trend"),
+        F.expr(A.joined(units) if units else "array(0D)").alias("dense_embedding"),
+        F.expr(A.joined(logs) if logs else "array(0D)").alias("dense_statistic"),
+        F.expr(stacked).alias("dense_trend"),
     )

@@ -77,6 +77,6 @@ def hashed_lookup(
     out: str = "vec",
 ) -> DataFrame:
     """The vector of the id's hash bucket, scaled by the gate."""
-    found = lookup(df, hash_seq(F.col(id_col), buckets), table, spread, out)
+    found = lookup(df, F.expr(hash_seq(id_col, buckets)), table, spread, out)
     gate = sigmoid(F.lit(float(gate_logit)))
     return found.withColumn(out, F.coalesce(F.transform(out, lambda x: x * gate), zeros(width)))

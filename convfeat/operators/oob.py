@@ -2,55 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convfeat.functions import arrays as A
-from convfeat.functions.ids import clean_id, long
+from convfeat.functions.ids import clean_id
 from convfeat.layout import FeatureLayout
 
 
-def _checked(layout: FeatureLayout) -> list[tuple[str, int, int, Column]]:
+def _checked(layout: FeatureLayout) -> list[tuple[str, int, int, str]]:
     """(group, fid, vocab, list of ids as the conversion would see them)."""
     found = []
     for side, features in (("user", layout.user_ids), ("item", layout.item_ids)):
         for f in features:
-            raw = F.col(layout.id_column(side, f.fid))
-            ids = F.array(clean_id(raw)) if f.dim == 1 else A.pad_ids(raw, f.dim)
+            name = layout.id_column(side, f.fid)
+            ids = f"array({clean_id(name)})" if f.dim == 1 else A.pad_ids(name, f.dim)
             found.append((f"{side}_int", f.fid, f.vocab, ids))
     for domain in layout.domains:
         for fid, vocab in domain.side_features:
-            found.append((domain.name, fid, vocab, A.pad_ids(F.col(domain.column(fid)), domain.max_len)))
+            found.append((domain.name, fid, vocab, A.pad_ids(domain.column(fid), domain.max_len)))
     return [entry for entry in found if entry[2] > 0]
 
 
-def _beyond(ids: Column, vocab: int) -> Column:
-    return F.filter(ids, lambda x: x >= vocab)
-
-
 def oob_stats(df: DataFrame, layout: FeatureLayout) -> DataFrame:
     """Count, smallest and largest id at or above the vocabulary, per feature that has any.
 
     One aggregation over all features; ids count after truncation, as they would be clipped.
     """
     checked = _checked(layout)
-    beyond = df.select(*[_beyond(ids, vocab).alias(f"b{i}") for i, (_, _, vocab, ids) in enumerate(checked)])
-    sums = []
-    for i in range(len(checked)):
-        sums += [
-            F.sum(F.size(f"b{i}").cast("long")).alias(f"n{i}"),
-            F.min(F.array_min(f"b{i}")).alias(f"lo{i}"),
-            F.max(F.array_max(f"b{i}")).alias(f"hi{i}"),
-        ]
+    beyond = df.selectExpr(
+        *[f"filter({ids}, x -> x >= {vocab}) AS b{i}" for i, (_, _, vocab, ids) in enumerate(checked)]
+    )
+    sums = [
+        f"sum(bigint(size(b{i}))) AS n{i}, min(array_min(b{i})) AS lo{i}, max(array_max(b{i})) AS hi{i}".split(", ")
+        for i in range(len(checked))
+    ]
     lines = [
-        F.struct(
-            F.lit(group).alias("feature_group"),
-            long(fid).alias("fid"),
-            long(vocab).alias("vocab"),
-            F.col(f"n{i}").alias("oob_count"),
-            F.col(f"lo{i}").alias("oob_min"),
-            F.col(f"hi{i}").alias("oob_max"),
-        )
+        f"struct('{group}' AS feature_group, {fid}L AS fid, {vocab}L AS vocab, "
+        f"n{i} AS oob_count, lo{i} AS oob_min, hi{i} AS oob_max)"
         for i, (group, fid, vocab, _) in enumerate(checked)
     ]
-    return beyond.agg(*sums).select(F.inline(F.array(*lines))).filter("oob_count > 0")
+    totals = beyond.agg(*[F.expr(text) for texts in sums for text in texts])
+    return totals.selectExpr(f"inline(array({', '.join(lines)}))").filter("oob_count > 0")

@@ -12,14 +12,13 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convfeat.functions.ids import long
 from convfeat.operators.distribution import order_stats
 
 SAMPLE_SEED = 2026
 
 
 def scan_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
-    return df.select(F.coalesce(F.col(column), long(0)).alias(column))
+    return df.select(F.coalesce(F.col(column), F.lit(0).cast("long")).alias(column))
 
 
 def label_of(label_type: Column, training: bool = True) -> Column:
@@ -44,7 +43,7 @@ def filter_recent(df: DataFrame, threshold: int, column: str = "timestamp") -> D
     """Rows from ``threshold`` on; a missing time counts as 0, as it does for the threshold."""
     if threshold > 0:
         return filter_time(df, tmin=threshold, column=column)
-    return df.filter(F.coalesce(F.col(column), long(0)) >= threshold)
+    return df.filter(F.coalesce(F.col(column), F.lit(0).cast("long")) >= threshold)
 
 
 def count_ge(df: DataFrame, threshold: int, column: str = "timestamp") -> int:
@@ -155,14 +154,14 @@ def split_profile(
     df: DataFrame, thresholds: dict[str, int], label: Column, column: str = "timestamp"
 ) -> DataFrame:
     """Rows, conversions and conversion rate of each split, and of all rows, from one pass."""
-    ts = F.coalesce(F.col(column), long(0))
+    ts = F.coalesce(F.col(column), F.lit(0).cast("long"))
     parts = {"all": None, **thresholds}
     chosen = {name: F.lit(True) if t is None else ts >= t for name, t in parts.items()}
     sums = []
     for name, inside in chosen.items():
         sums += [
             F.count_if(inside).alias(f"rows_{name}"),
-            F.coalesce(F.sum(F.when(inside, label.cast("long"))), long(0)).alias(f"conversions_{name}"),
+            F.coalesce(F.sum(F.when(inside, label.cast("long"))), F.lit(0).cast("long")).alias(f"conversions_{name}"),
         ]
     lines = [
         F.struct(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convfeat.functions import arrays as A
 from convfeat.layout import FeatureLayout
-from convfeat.operators.features import dense_groups
+from convfeat.operators.features import as_list, dense_groups
 
 # The dense features by meaning.
 DENSE_GROUPS = {
@@ -17,23 +18,23 @@ DENSE_GROUPS = {
 }
 
 
-def _words(prefix: str, ids: Column) -> Column:
-    return F.transform(ids, lambda x: F.concat(F.lit(prefix), x.cast("string")))
+def _words(prefix: str, ids: str) -> str:
+    return A.mapped(f"filter({ids}, x -> x > 0)", lambda x: f"concat('{prefix}', string({x}))")
 
 
-def id_tokens(layout: FeatureLayout) -> Column:
+def id_tokens(layout: FeatureLayout) -> str:
     """Every present id of both sides as a word ``<side><fid>=<id>``."""
-    words = []
-    for side in ("user", "item"):
-        for feature in layout.side_features(side):
-            column = F.col(layout.id_column(side, feature.fid))
-            ids = column if feature.dim > 1 else F.array(column)
-            words.append(_words(f"{side}{feature.fid}=", F.filter(ids, lambda x: x > 0)))
-    return F.concat(*words)
+    return A.joined(
+        [
+            _words(f"{side}{feature.fid}=", as_list(layout, side, feature))
+            for side in ("user", "item")
+            for feature in layout.side_features(side)
+        ]
+    )
 
 
 def model_input(converted: DataFrame, layout: FeatureLayout) -> DataFrame:
     """Converted samples with the columns the pipeline reads: ``tokens`` and ``dense``."""
     grouped = dense_groups(converted, layout, **DENSE_GROUPS)
     dense = F.concat("dense_embedding", "dense_statistic", F.flatten("dense_trend"))
-    return grouped.withColumn("tokens", id_tokens(layout)).withColumn("dense", array_to_vector(dense))
+    return grouped.withColumn("tokens", F.expr(id_tokens(layout))).withColumn("dense", array_to_vector(dense))
