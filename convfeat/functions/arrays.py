@@ -39,7 +39,7 @@ def joined(parts: list[str]) -> str:
 
 def valid_length(arr: str, n: int) -> str:
     """min(size, n); a null list has length 0."""
-    return f"int(greatest(least(size({arr}), {n}), 0))"
+    return f"int(greatest(least(coalesce(size({arr}), 0), {n}), 0))"
 
 
 def pad_ids(arr: str, n: int, each: Callable[[str], str] | None = None) -> str:
