@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from convfeat.fixtures.history import with_histories
 from convfeat.layout import DenseFeature, FeatureLayout, IdFeature, SequenceDomain
+from convfeat.operators.lookup import keyed_join
 from convfeat.session import spread
 
 # Market segments in name order.
@@ -84,6 +85,34 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def user_table(spark: SparkSession, sf_dir: str, parts: Sequence[str]) -> DataFrame:
+    """Everything a sample takes from its user, one row per user."""
+    users = customer_orders(spark, sf_dir)
+    columns = ["user_id"]
+    if "user" in parts:
+        customers = table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("user_id"),
+            (F.col("c_nationkey").cast("long") - 1).alias("user_int_feats_1"),
+            F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")).alias("user_int_feats_15"),
+            F.col("c_custkey").alias("user_int_feats_48"),
+        )
+        users = customers.join(users, "user_id", "left")
+        columns += ["user_int_feats_1", "user_int_feats_15", "user_int_feats_48"]
+        columns.append(F.col("order_ids").alias("user_int_feats_60"))
+    if "dense" in parts:
+        vectors = table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").alias("user_id"), F.col("embedding").alias("user_dense_feats_61")
+        )
+        users = users.join(vectors, "user_id", "full")
+        columns += [
+            "user_dense_feats_61",
+            F.col("order_totals").alias("user_dense_feats_62"),
+            F.col("order_ratios").alias("user_dense_feats_89"),
+            F.col("order_ratios").alias("user_dense_feats_90"),
+        ]
+    return users.select(*columns)
+
+
 def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     facts = event_facts(spark, sf_dir)
     columns = [
@@ -116,30 +145,8 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
     rows = facts.filter(F.col("event_type").isin("click", "purchase", "view")).select(*columns)
     if parts and "seq" not in parts:
         rows = spread(rows, "sample_id")
-    if "user" in parts:
-        customers = table(spark, sf_dir, "customer").select(
-            F.col("c_custkey").alias("user_id"),
-            (F.col("c_nationkey").cast("long") - 1).alias("user_int_feats_1"),
-            F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")).alias("user_int_feats_15"),
-            F.col("c_custkey").alias("user_int_feats_48"),
-        )
-        rows = rows.join(customers, "user_id", "left")
     if "user" in parts or "dense" in parts:
-        orders = customer_orders(spark, sf_dir)
-        wanted = ["user_id"]
-        wanted += [F.col("order_ids").alias("user_int_feats_60")] if "user" in parts else []
-        if "dense" in parts:
-            wanted += [
-                F.col("order_totals").alias("user_dense_feats_62"),
-                F.col("order_ratios").alias("user_dense_feats_89"),
-                F.col("order_ratios").alias("user_dense_feats_90"),
-            ]
-        rows = rows.join(orders.select(*wanted), "user_id", "left")
-    if "dense" in parts:
-        vectors = table(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("user_id"), F.col("embedding").alias("user_dense_feats_61")
-        )
-        rows = rows.join(vectors, "user_id", "left")
+        rows = keyed_join(rows, user_table(spark, sf_dir, parts), "user_id", ["sample_id"])
     if "item" in parts:
         size = F.col("p_size").cast("long")
         items = table(spark, sf_dir, "part").select(
@@ -148,5 +155,5 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
             F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("item_int_feats_11"),
             F.array(size, F.lit(-1), size * 2).alias("item_int_feats_16"),
         )
-        rows = rows.join(items, "k", "left")
+        rows = keyed_join(rows, items, "k", ["sample_id"])
     return rows

@@ -36,26 +36,31 @@ def zeros(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
 
 
-def lookup(
-    df: DataFrame, key: Column, table: DataFrame, spread: Sequence[str], out: str = "vec"
-) -> DataFrame:
-    """Left join of ``table`` (id, vec) on ``key``; ``out`` is null where the id is missing.
+def keyed_join(df: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """Left join of a table with at most one row per ``key``, whatever share of ``df`` a key holds.
 
-    ``spread`` names columns that tell rows apart, for salting.
+    ``spread`` names columns that tell the rows of ``df`` apart, for salting.
     """
-    keyed = df.withColumn("__id", F.when(key > 0, key.cast("long")))
-    vectors = table.select(F.col("id").cast("long").alias("__id"), F.col("vec").cast("array<double>").alias(out))
-    if fits_broadcast(vectors):
-        return keyed.join(F.broadcast(vectors), "__id", "left").drop("__id")
-    hot = frequent_ids(keyed, "__id")
+    if fits_broadcast(table):
+        return df.join(F.broadcast(table), key, "left")
+    hot = frequent_ids(df, key)
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    salted = keyed.withColumn(
+    salted = df.withColumn(
         "__salt",
-        F.when(F.col("__id").isNull() | F.col("__id").isin(hot), spread_salt).otherwise(F.lit(0)),
+        F.when(F.col(key).isNull() | F.col(key).isin(hot), spread_salt).otherwise(F.lit(0)),
     )
-    copies = F.when(F.col("__id").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    replicated = vectors.withColumn("__salt", F.explode(copies))
-    return salted.join(replicated, ["__id", "__salt"], "left").drop("__id", "__salt")
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    replicated = table.withColumn("__salt", F.explode(copies))
+    return salted.join(replicated, [key, "__salt"], "left").drop("__salt")
+
+
+def lookup(
+    df: DataFrame, key: Column, table: DataFrame, spread: Sequence[str], out: str = "vec"
+) -> DataFrame:
+    """Left join of ``table`` (id, vec) on ``key``; ``out`` is null where the id is missing."""
+    keyed = df.withColumn("__id", F.when(key > 0, key.cast("long")))
+    vectors = table.select(F.col("id").cast("long").alias("__id"), F.col("vec").cast("array<double>").alias(out))
+    return keyed_join(keyed, vectors, "__id", spread).drop("__id")
 
 
 def lookup_embedding(
