@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +15,14 @@ from pyspark.sql import functions as F
 from convfeat.operators.lookup import hashed_lookup, lookup, lookup_embedding, zeros
 
 
-def _dims(vector: str, width: int) -> list[Column]:
-    return [F.get(F.col(vector), F.lit(i)) for i in range(width)]
+def _sums(prefix: str, vector: str, width: int, weight: str = "") -> list[Column]:
+    """Sum of a vector, one column per dimension, each value times ``weight`` if given."""
+    factor = f"{weight} * " if weight else ""
+    return [F.expr(f"sum({factor}get({vector}, {i})) AS {prefix}{i}") for i in range(width)]
 
 
-def _sums(prefix: str, vector: str, width: int, weight: Column | None = None) -> list[Column]:
-    terms = _dims(vector, width)
-    if weight is not None:
-        terms = [weight * x for x in terms]
-    return [F.sum(x).alias(f"{prefix}{i}") for i, x in enumerate(terms)]
-
-
-def _divided(prefix: str, width: int, by: Column) -> Column:
-    return F.array(*[F.coalesce(F.col(f"{prefix}{i}"), F.lit(0.0)) / by for i in range(width)])
+def _divided(prefix: str, width: int, by: str) -> Column:
+    return F.expr(f"array({', '.join(f'coalesce({prefix}{i}, 0D) / {by}' for i in range(width))})")
 
 
 def embed_mean(
@@ -39,7 +32,7 @@ def embed_mean(
     ids = df.select(key, F.explode_outer(F.filter(ids_col, lambda x: x != 0)).alias("__one"))
     found = lookup(ids, F.col("__one"), table, [key], "__vec")
     summed = found.groupBy(key).agg(F.count("__one").alias("__n"), *_sums("s", "__vec", width))
-    return summed.select(key, _divided("s", width, F.greatest("__n", F.lit(1))).alias(out))
+    return summed.select(key, _divided("s", width, "greatest(__n, 1)").alias(out))
 
 
 @dataclass(frozen=True)
@@ -94,25 +87,26 @@ def sequence_tokens(
 def sequence_mean(tokens: DataFrame, key: str, width: int, out: str = "vec") -> DataFrame:
     """(key, mean over all valid positions, zero ids included)."""
     summed = tokens.groupBy(key).agg(F.count("token").alias("__n"), *_sums("s", "token", width))
-    return summed.select(key, _divided("s", width, F.greatest("__n", F.lit(1))).alias(out))
+    return summed.select(key, _divided("s", width, "greatest(__n, 1)").alias(out))
 
 
-def match_score(query: str, token: str, width: int, weights: Sequence[float] | None = None) -> Column:
-    """Score of a token for a query: a dot product, or supplied linear weights.
+def match_score(query: str, token: str, width: int, weights: Sequence[float] | None = None) -> str:
+    """Score of a token for a query, as SQL text: a dot product, or supplied linear weights.
 
     The weights belong to [query, token, query - token, query * token], ``4 * width`` numbers.
     """
-    pairs = list(zip(_dims(query, width), _dims(token, width)))
+    pairs = [(f"get({query}, {i})", f"get({token}, {i})") for i in range(width)]
     if weights is None:
-        return reduce(add, [q * s for q, s in pairs])
+        return " + ".join(f"{q} * {s}" for q, s in pairs)
     if len(weights) != 4 * width:
         raise ValueError(f"expected {4 * width} weights, got {len(weights)}")
-    wq, ws, wd, wp = (weights[i * width : (i + 1) * width] for i in range(4))
-    terms = [
-        q * float(wq[i]) + s * float(ws[i]) + (q - s) * float(wd[i]) + q * s * float(wp[i])
+    own, other, gap, product = (
+        [f"double('{w!r}')" for w in map(float, weights[i * width : (i + 1) * width])] for i in range(4)
+    )
+    return " + ".join(
+        f"{q} * {own[i]} + {s} * {other[i]} + ({q} - {s}) * {gap[i]} + {q} * {s} * {product[i]}"
         for i, (q, s) in enumerate(pairs)
-    ]
-    return reduce(add, terms)
+    )
 
 
 def pool_tokens(
@@ -129,19 +123,19 @@ def pool_tokens(
     Scores are shifted by their maximum per sample. Samples without tokens get zero vectors.
     A sample holds at most ``max_len`` tokens, so its window stays small.
     """
-    scored = tokens.withColumn("__score", match_score(query, "token", width, weights))
+    scored = tokens.withColumn("__score", F.expr(match_score(query, "token", width, weights)))
     peak = F.max("__score").over(Window.partitionBy(key))
     weighted = scored.withColumn("__w", F.exp(F.col("__score") - peak)).drop("__score", query)
     summed = weighted.groupBy(key).agg(
         F.count("token").alias("__n"),
         F.sum("__w").alias("__z"),
         *_sums("s", "token", width),
-        *_sums("a", "token", width, F.col("__w")),
+        *_sums("a", "token", width, "__w"),
     )
     return summed.select(
         key,
-        _divided("s", width, F.greatest("__n", F.lit(1))).alias(mean),
-        _divided("a", width, F.coalesce("__z", F.lit(1.0))).alias(attention),
+        _divided("s", width, "greatest(__n, 1)").alias(mean),
+        _divided("a", width, "coalesce(__z, 1D)").alias(attention),
     )
 
 
@@ -157,10 +151,10 @@ def attention_pool(
     return pool_tokens(tokens, key, width, query, weights, "__mean", out).drop("__mean")
 
 
-def item_query(vectors: Sequence[Column | str], width: int) -> Column:
-    """Mean of the item-side vectors of a row."""
-    columns = [F.col(v) if isinstance(v, str) else v for v in vectors]
-    return F.array(*[reduce(add, [F.get(v, F.lit(i)) for v in columns]) / len(columns) for i in range(width)])
+def item_query(vectors: Sequence[str], width: int) -> Column:
+    """Mean of the item-side vectors of a row, given as SQL text."""
+    means = [f"({' + '.join(f'get({v}, {i})' for v in vectors)}) / {len(vectors)}" for i in range(width)]
+    return F.expr(f"array({', '.join(means)})")
 
 
 def match_features(

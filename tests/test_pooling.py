@@ -121,7 +121,7 @@ def test_wrong_weight_count(spark):
 
 def test_match_features(spark, table):
     df = converted(spark).withColumn("ids", F.array(F.lit(2), F.lit(0)))
-    df = df.withColumn("item", item_query(["query", F.array(*[F.lit(1.0)] * 3)], 3))
+    df = df.withColumn("item", item_query(["query", "array(1D, 1D, 1D)"], 3))
     tokens = {"s": sequence_tokens(df, "key", "s", {1: TokenSource("table", table)}, 3, carry=["item"])}
     got = {r.key: r.match_s for r in match_features(df, "key", "item", "ids", table, 3, tokens, 3).collect()}
     query = (vec(3) + 1) / 2
