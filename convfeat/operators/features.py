@@ -1,4 +1,8 @@
-"""Conversion of raw samples under a declared layout. Row-wise, so it also runs on a stream."""
+"""Conversion of raw samples under a declared layout. Row-wise, so it also runs on a stream.
+
+Every feature is its own expression: lists of several domains, hundreds of positions long,
+never meet in one generated method.
+"""
 
 from __future__ import annotations
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from convfeat.operators.features import convert, project_layout
 from convfeat.operators.predictions import last_per_user
