@@ -114,7 +114,7 @@ def user_table(spark: SparkSession, sf_dir: str, parts: Sequence[str]) -> DataFr
 
 
 def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
-    facts = event_facts(spark, sf_dir)
+    events = facts = event_facts(spark, sf_dir)
     columns = [
         F.col("event_id").alias("sample_id"),
         F.col("sec").alias("timestamp"),
@@ -146,7 +146,7 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
     if parts and "seq" not in parts:
         rows = spread(rows, "sample_id")
     if "user" in parts or "dense" in parts:
-        rows = keyed_join(rows, user_table(spark, sf_dir, parts), "user_id", ["sample_id"])
+        rows = keyed_join(rows, user_table(spark, sf_dir, parts), "user_id", ["sample_id"], events)
     if "item" in parts:
         size = F.col("p_size").cast("long")
         items = table(spark, sf_dir, "part").select(
@@ -155,5 +155,5 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
             F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("item_int_feats_11"),
             F.array(size, F.lit(-1), size * 2).alias("item_int_feats_16"),
         )
-        rows = keyed_join(rows, items, "k", ["sample_id"])
+        rows = keyed_join(rows, items, "k", ["sample_id"], events)
     return rows

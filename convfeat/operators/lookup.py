@@ -36,14 +36,17 @@ def zeros(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
 
 
-def keyed_join(df: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+def keyed_join(
+    df: DataFrame, table: DataFrame, key: str, spread: Sequence[str], keys_of: DataFrame | None = None
+) -> DataFrame:
     """Left join of a table with at most one row per ``key``, whatever share of ``df`` a key holds.
 
-    ``spread`` names columns that tell the rows of ``df`` apart, for salting.
+    ``spread`` names columns that tell the rows of ``df`` apart, for salting. ``keys_of`` is a
+    cheaper table with about the same keys, to find the frequent ones in.
     """
     if fits_broadcast(table):
         return df.join(F.broadcast(table), key, "left")
-    hot = frequent_ids(df, key)
+    hot = frequent_ids(df if keys_of is None else keys_of, key)
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     salted = df.withColumn(
         "__salt",
