@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import exact_dedup
+from convfeat.llm import decontaminate, exact_dedup
 from convfeat.llm.common import table
 
 
@@ -12,9 +12,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
