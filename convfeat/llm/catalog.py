@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import decontaminate, exact_dedup
+from convfeat.llm import bpe, decontaminate, exact_dedup
 from convfeat.llm.common import table
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -17,6 +23,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
