@@ -119,7 +119,7 @@ def _mismatches(texts: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFr
     tags = rows.join(shared, CLASS).select(
         "rid", *CLASS, "rep_rid", "salts", F.pmod(F.hash("rid"), F.col("salts")).cast("int").alias("salt")
     )
-    members = texts.select("rid", F.col("row.text").alias("text")).join(tags, "rid")
+    members = written(texts.select("rid", F.col("row.text").alias("text")).join(tags, "rid"), "members")
     reps = members.where("rid = rep_rid").select(
         *CLASS, F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.col("text").alias("rep_text")
     )
