@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import bpe, decontaminate, exact_dedup, langid, pii
+from convfeat.llm import bpe, decontaminate, exact_dedup, langid, pii, quality
 from convfeat.llm.common import table
 
 
@@ -30,11 +30,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op6_langid": op6_langid,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
