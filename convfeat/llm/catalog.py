@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import bpe, decontaminate, exact_dedup, langid, pii, quality
+from convfeat.llm import bpe, decontaminate, exact_dedup, langid, pii, pitman_yor, quality
 from convfeat.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op6_langid": op6_langid,
+    "op7_lm_score": op7_lm_score,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
