@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import bpe, decontaminate, exact_dedup, langid, pii, pitman_yor, quality
+from convfeat.llm import bpe, decontaminate, exact_dedup, jaccard, langid, pii, pitman_yor, quality
 from convfeat.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_langid": op6_langid,
     "op7_lm_score": op7_lm_score,
     "op8_exact_dedup": op8_exact_dedup,
