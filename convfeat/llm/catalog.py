@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import bpe, decontaminate, exact_dedup, jaccard, langid, pii, pitman_yor, quality
+from convfeat.llm import bpe, decontaminate, exact_dedup, jaccard, langid, pii, pitman_yor, quality, suffix_dedup
 from convfeat.llm.common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -43,6 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_jaccard_join": op5_jaccard_join,

@@ -47,6 +47,15 @@ def text_blocks(batch: pa.RecordBatch, limit: int = BLOCK_BYTES) -> Iterator[pa.
         start = end
 
 
+def table_blocks(batch: pa.RecordBatch, key: str | None = None) -> Iterator[pa.RecordBatch]:
+    """``text_blocks`` that also end where the value of column ``key`` changes."""
+    bounds = [0, batch.num_rows]
+    if key is not None and batch.num_rows:
+        bounds[1:1] = (np.flatnonzero(np.diff(batch.column(key).to_numpy())) + 1).tolist()
+    for start, end in zip(bounds, bounds[1:]):
+        yield from text_blocks(batch.slice(start, end - start))
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """``fn`` over every block of rows; a partition streams through one block at a time."""
 
