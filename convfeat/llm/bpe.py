@@ -153,7 +153,7 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codec(shared.value, pattern)
-        n_tokens, ids_sha, decoded_sha, round_trip, kept = [], [], [], [], []
+        n_tokens, ids_sha, decoded_sha, round_trip, kept = [], [], [], [], [b""]
         for text in text_of(batch).to_pylist():
             text = text or ""
             packed = codec.encode(text)
@@ -164,7 +164,7 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
             decoded_sha.append(hashlib.sha256(decoded).hexdigest())
             round_trip.append(decoded == text.encode())
             if keep_ids:
-                kept.append(ids)
+                kept.append(packed)
         columns = {
             "row": batch.column("row"),
             "n_tokens": pa.array(n_tokens, pa.int64()),
@@ -173,11 +173,12 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
             "round_trip": pa.array(round_trip, pa.bool_()),
         }
         if keep_ids:
-            columns["ids"] = pa.array(kept, pa.list_(pa.int64()))
+            ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<i4")))
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = as_row(documents)
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<long>" * keep_ids
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
     return map_texts(rows, run, row_schema(rows, fields))
 
 
@@ -185,3 +186,10 @@ def token_digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFr
     """Per document the number of tokens and the hashes of ids and decoded bytes."""
     out = encoded(documents.select("doc_id", "text"), ranks_path, pattern, keep_ids=False)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
+
+
+def tokenized_rows(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``documents`` with all columns, and their tokens; a token column replaces one of the same name."""
+    made = encoded(documents, ranks_path, pattern)
+    new = [c for c in made.columns if c != "row"]
+    return made.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in new], *new)

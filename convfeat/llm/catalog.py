@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import bpe, decontaminate, exact_dedup, jaccard, langid, pii, pitman_yor, quality, suffix_dedup
+from convfeat.llm import bpe, chunk_dedup, decontaminate, exact_dedup, jaccard, langid, pii, pitman_yor, quality, suffix_dedup
 from convfeat.llm.common import table
 
 
+def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passage_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chunk_dedup": op1_chunk_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
