@@ -382,7 +382,10 @@ def _finished(texts: pa.Table, runs: pa.Table) -> pa.Table:
 def without_repeats(
     documents: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK_OF_TEXT, per_salt: int = PIECES_PER_SALT
 ) -> DataFrame:
-    """Per row of ``documents`` (``doc_id``, ``text``): counts, removed ``spans`` in bytes, and the ``kept`` bytes."""
+    """Per row of ``documents`` (``doc_id``, ``text``): counts, removed ``spans`` in bytes, and the ``kept`` bytes.
+
+    The result is written to the shared folder and the bucketed texts are dropped before the call returns.
+    """
     spark = documents.sparkSession
     given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     name = f"texts_{uuid.uuid4().hex}"
@@ -405,7 +408,9 @@ def without_repeats(
     removed = runs.where("d1 is null").select("block", "row", "start", "end").unionByName(merged)
     removed = removed.withColumnRenamed("block", "of")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"
-    return spark.table(name).groupBy("block").cogroup(removed.groupBy("of")).applyInArrow(_finished, schema)
+    out = written(spark.table(name).groupBy("block").cogroup(removed.groupBy("of")).applyInArrow(_finished, schema), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def removal_digests(documents: DataFrame) -> DataFrame:
