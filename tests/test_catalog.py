@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from convfeat.catalog import QUERIES, SQL
 from tests.oracle import connect, difference, spark_table, sql_table
 
 SF = "/root/testdata/sf0.001"
@@ -15,13 +16,14 @@ def duck():
 
 
 def test_every_other_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == SQL_FREE and set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(SQL) == SQL_FREE
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    got = spark_table(queries()[name](spark, SF))
-    assert difference(got, sql_table(duck, oracle_sql()[name])) is None
+    got = spark_table(QUERIES[name](spark, SF))
+    assert difference(got, sql_table(duck, SQL[name])) is None
 
 
 def test_entry(spark):
