@@ -117,7 +117,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", buffer=padded, strides=(1,)).astype(np.uint64)
     room = np.repeat(ends, ends - starts) - np.arange(n)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
@@ -131,7 +131,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width:
             break
         # places short of room cannot start a window or be a part of one; they stay behind their group
         both = rank[open_] * (n + 1) + rank[open_ + step]
-        sub = np.argsort(both, kind="stable")
+        sub = np.argsort(both)
         both = both[sub]
         fresh = np.ones(len(sub), bool)
         fresh[1:] = both[1:] != both[:-1]
@@ -145,10 +145,8 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width:
         rank = wider[rank]
         rank[open_[sub]] = wider[group] + offset
         h += step
-        if h < width:
-            _, rank = np.unique(rank, return_inverse=True)
     fits = np.flatnonzero(room >= width)
-    return fits[np.argsort(rank[fits], kind="stable")]
+    return fits[np.argsort(rank[fits])]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, firsts: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> np.ndarray:
