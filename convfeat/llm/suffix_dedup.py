@@ -6,7 +6,7 @@ further ahead in the same text. Strings are judged on the input, and never cross
 Equal strings must meet to be compared. Each window of ``width`` bytes has a mark, the least hash among
 its ``GRAM``-byte grams, which equal windows share; windows in a row that share a mark form a piece.
 Only pieces whose mark occurs more than once, about one piece per 35 bytes there, are shuffled by their
-mark into shards of bounded size. A shard sorts its windows' suffixes by Larsson and Sadakane's
+mark into shards of bounded size. A shard sorts its distinct pieces' suffixes by Larsson and Sadakane's
 refinement (groups already told apart are left alone), finds the common prefixes of neighbours by
 Kasai's method, in lockstep over pieces, and marks all but the earliest of each run that shares
 ``width`` bytes. A mark with very many pieces is spread over several shards; these send the earliest
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -284,15 +285,24 @@ def _searched(width: int):
 
     def shard(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        bodies = rows.column("body").combine_chunks()
-        data, offsets = text_bytes(pa.Array.from_buffers(pa.string(), len(bodies), bodies.buffers(), offset=bodies.offset))
-        starts, ends = offsets[:-1], offsets[1:]
         doc_id = rows.column("doc_id")
         no_id = doc_id.is_null().to_numpy().astype(np.int64)
         block, row, start = (rows.column(n).to_numpy() for n in ("block", "row", "start"))
         turn = np.lexsort((start, row, block, doc_id.fill_null(0).to_numpy(), no_id))
         place = np.empty(len(turn), np.int64)
         place[turn] = np.arange(len(turn))
+        # of equal pieces only the earliest is sorted; all windows of the others are later ones
+        bodies = rows.column("body").combine_chunks()
+        kind = bodies.dictionary_encode().indices.to_numpy()
+        by_kind = np.lexsort((place, kind))
+        copy = np.zeros(len(kind), bool)
+        copy[by_kind[1:]] = kind[by_kind[1:]] == kind[by_kind[:-1]]
+        sizes = pc.binary_length(bodies).to_numpy().astype(np.int64)
+        yield batch_of(int(copy.sum()), block=block[copy], row=row[copy], start=start[copy], end=(start + sizes)[copy])
+        rows, place, block, row, start = rows.filter(pa.array(~copy)).combine_chunks(), place[~copy], block[~copy], row[~copy], start[~copy]
+        doc_id, bodies = rows.column("doc_id"), rows.column("body").combine_chunks()
+        data, offsets = text_bytes(pa.Array.from_buffers(pa.string(), len(bodies), bodies.buffers(), offset=bodies.offset))
+        starts, ends = offsets[:-1], offsets[1:]
         owner = np.repeat(np.arange(len(starts)), ends - starts)
         rank = place[owner] * (LONGEST_PIECE + width) + np.arange(len(data)) - starts[owner]
         order, later = later_windows(data, starts, ends, rank, width)
