@@ -22,16 +22,14 @@ from convfeat.operators.pooling import (
 from convfeat.operators.selection import recent_thresholds
 from convfeat.session import stored
 
-W = 8  # width of the id vectors in these queries
+W = 64  # width of the vectors of ``embeddings``
 GATE = -0.75
 ITEM_HASH = FeatureLayout.id_column("item", ITEM_HASH_FID)
 LINEAR = [((i * 7) % 11 - 5) / 10 for i in range(4 * W)]
 
 
-def vectors(spark, sf_dir, width=W):
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.slice("embedding", 1, width).alias("vec")
-    )
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def _vec_sql(width: int = W, scale: str = "") -> str:
@@ -42,13 +40,13 @@ def _vec_sql(width: int = W, scale: str = "") -> str:
 
 @query(
     "embed_lookup",
-    f"""WITH {S.samples_sql()} SELECT sample_id, {sql_vec(_vec_sql(64))} AS vec
+    f"""WITH {S.samples_sql()} SELECT sample_id, {sql_vec(_vec_sql())} AS vec
 FROM samples LEFT JOIN embeddings ON vec_id = item_id AND vec_id > 0""",
 )
 def embed_lookup(spark, sf_dir):
     """The vector of each sample's item; zeros for missing items."""
     df = samples(spark, sf_dir).select("sample_id", "item_id")
-    found = lookup_embedding(df, "item_id", vectors(spark, sf_dir, 64), 64, ["sample_id"])
+    found = lookup_embedding(df, "item_id", vectors(spark, sf_dir), W, ["sample_id"])
     return found.select("sample_id", vec_text("vec").alias("vec"))
 
 
@@ -149,18 +147,18 @@ def item_query_query(spark, sf_dir):
   SELECT sample_id, unnest(range(0, seq_b_len)) AS i, p_seq_b_102, p_seq_b_69,
     list_transform(list_resize(coalesce(seq_b_29, [])[1:8], 8, 0), lambda t: {S.bucket("timestamp", "t")}) AS gaps
   FROM packed JOIN samples USING (sample_id))
-SELECT sample_id, i::int AS pos, {sql_vec(f"list_concat(list_concat(coalesce(a.embedding[1:4]::double[], [0, 0, 0, 0]), "
-  f"coalesce(list_transform(b.embedding[1:4]::double[], lambda x: x / (1 + exp({-GATE}::double))), [0, 0, 0, 0])), "
-  "coalesce(c.embedding[1:4]::double[], [0, 0, 0, 0]))")} AS token
+SELECT sample_id, i::int AS pos, {sql_vec(f"list_concat(list_concat(coalesce(a.embedding::double[], {ZERO}), "
+  f"coalesce(list_transform(b.embedding::double[], lambda x: x / (1 + exp({-GATE}::double))), {ZERO})), "
+  f"coalesce(c.embedding::double[], {ZERO}))")} AS token
 FROM positions LEFT JOIN embeddings a ON a.vec_id = p_seq_b_102[i + 1] AND a.vec_id > 0
 LEFT JOIN embeddings b ON b.vec_id = p_seq_b_69[i + 1] % 400 + 1 AND p_seq_b_69[i + 1] > 0
 LEFT JOIN embeddings c ON c.vec_id = gaps[i + 1] AND c.vec_id > 0""",
 )
 def seq_tokens(spark, sf_dir):
     """Table, gated hash and time-gap vectors side by side for every event of a domain."""
-    table_ = vectors(spark, sf_dir, 4)
+    table_ = vectors(spark, sf_dir)
     sources = {102: TokenSource("table", table_), 69: TokenSource("hash", table_, 400, GATE)}
-    rows = sequence_tokens(converted(spark, sf_dir, "seq"), "sample_id", "seq_b", sources, 4, table_)
+    rows = sequence_tokens(converted(spark, sf_dir, "seq"), "sample_id", "seq_b", sources, W, table_)
     return rows.filter("pos IS NOT NULL").select("sample_id", "pos", vec_text("token").alias("token"))
 
 

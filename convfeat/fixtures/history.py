@@ -7,7 +7,7 @@ span any number of ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,14 +56,14 @@ def _carried(chunks: DataFrame, event: Column, domains: Sequence[str], depth: in
 
 
 def with_histories(
-    events: DataFrame, domains: Sequence[str], fields: Sequence[str], depth: int, parts: int | None = None
+    events: DataFrame, depths: Mapping[str, int], fields: Sequence[str], parts: int | None = None
 ) -> DataFrame:
-    """``events`` with ``hist_<domain>``: structs of ``fields`` of at most ``depth`` earlier events.
+    """``events`` with ``hist_<domain>``: structs of ``fields`` of earlier events, as many as ``depths`` says.
 
-    ``events`` carries ``user_id``, ``event_ts``, ``event_id`` and ``domain``. With a depth not
-    below the longest list a layout reads, every feature equals the one from full histories.
+    ``events`` carries ``user_id``, ``event_ts``, ``event_id`` and ``domain``. With a
+    depth not below what a layout reads, every feature equals the one from full histories.
     """
-    event = F.struct(*fields)
+    event, domains, depth = F.struct(*fields), list(depths), max(depths.values())
     width = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = range_chunks(events, [USER, *ORDER], width)
     own = Window.partitionBy(USER, CHUNK, "domain").orderBy(*ORDER).rowsBetween(1 - depth, 0)
@@ -82,5 +82,5 @@ def with_histories(
     joined = within.join(_carried(chunks, event, domains, depth), [USER, CHUNK], "left")
     return joined.select(
         *events.columns,
-        *[_newest(F.col(f"__old_{d}"), F.col(f"__new_{d}"), depth).alias(f"hist_{d}") for d in domains],
+        *[_newest(F.col(f"__old_{d}"), F.col(f"__new_{d}"), depths[d]).alias(f"hist_{d}") for d in domains],
     )

@@ -14,13 +14,9 @@ from pyspark.sql import functions as F
 from convfeat.fixtures.history import with_histories
 from convfeat.layout import DenseFeature, FeatureLayout, IdFeature, SequenceDomain
 from convfeat.operators.lookup import keyed_join
-from convfeat.session import spread
 
 # Market segments in name order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-# Longest list any feature reads is 16; a little more is kept so that truncation happens.
-HISTORY_DEPTH = 20
-ORDER_DEPTH = 10
 
 LAYOUT = FeatureLayout(
     user_ids=(IdFeature(1, 20), IdFeature(15, 6), IdFeature(48, 0), IdFeature(60, 150, 5)),
@@ -69,11 +65,17 @@ def first_per_key(df: DataFrame, key: str, order: str, depth: int) -> DataFrame:
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= depth).drop("__rank")
 
 
-def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_depth(layout: FeatureLayout) -> int:
+    """The longest list that a feature of the layout reads from a customer's orders."""
+    read = [f.dim for f in layout.user_ids if f.fid == 60] + [f.dim for f in layout.user_dense if f.fid in (62, 89, 90)]
+    return max(read, default=1)
+
+
+def customer_orders(spark: SparkSession, sf_dir: str, layout: FeatureLayout = LAYOUT) -> DataFrame:
     """Per customer: the first orders as parallel lists, and the largest total of all orders."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     top = orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("top_total"))
-    first = first_per_key(orders, "o_custkey", "o_orderkey", ORDER_DEPTH)
+    first = first_per_key(orders, "o_custkey", "o_orderkey", order_depth(layout))
     lists = first.groupBy("o_custkey").agg(
         F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("l")
     )
@@ -85,9 +87,9 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_table(spark: SparkSession, sf_dir: str, parts: Sequence[str]) -> DataFrame:
+def user_table(spark: SparkSession, sf_dir: str, parts: Sequence[str], layout: FeatureLayout = LAYOUT) -> DataFrame:
     """Everything a sample takes from its user, one row per user."""
-    users = customer_orders(spark, sf_dir)
+    users = customer_orders(spark, sf_dir, layout)
     columns = ["user_id"]
     if "user" in parts:
         customers = table(spark, sf_dir, "customer").select(
@@ -113,7 +115,10 @@ def user_table(spark: SparkSession, sf_dir: str, parts: Sequence[str]) -> DataFr
     return users.select(*columns)
 
 
-def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def samples(
+    spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks: int | None = None, layout: FeatureLayout = LAYOUT
+) -> DataFrame:
+    """Samples with the asked parts; lists are as deep as the layout reads them (``max_len``, ``dim``)."""
     events = facts = event_facts(spark, sf_dir)
     columns = [
         F.col("event_id").alias("sample_id"),
@@ -126,7 +131,7 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
     ]
     if "seq" in parts:
         fields = ("event_id", "sec", "k", "cents")
-        facts = with_histories(facts, [d.name for d in LAYOUT.domains], fields, HISTORY_DEPTH, chunks)
+        facts = with_histories(facts, {d.name: d.max_len for d in layout.domains}, fields, chunks)
 
         def listed(domain: str, value):
             return F.transform(f"hist_{domain}", value)
@@ -143,10 +148,8 @@ def samples(spark: SparkSession, sf_dir: str, parts: Sequence[str] = (), chunks:
             listed("seq_d", lambda e: e["k"]).alias("seq_d_104"),
         ]
     rows = facts.filter(F.col("event_type").isin("click", "purchase", "view")).select(*columns)
-    if parts and "seq" not in parts:
-        rows = spread(rows, "sample_id")
     if "user" in parts or "dense" in parts:
-        rows = keyed_join(rows, user_table(spark, sf_dir, parts), "user_id", ["sample_id"], events)
+        rows = keyed_join(rows, user_table(spark, sf_dir, parts, layout), "user_id", ["sample_id"], events)
     if "item" in parts:
         size = F.col("p_size").cast("long")
         items = table(spark, sf_dir, "part").select(

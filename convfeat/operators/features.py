@@ -121,14 +121,18 @@ def convert(
     mode: str = "clip",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """All features of the layout in one projection; ``keep`` names columns passed through."""
+    """All features of the layout in one projection; ``keep`` names columns passed through.
+
+    Training rows need ``label_type``; others get label 0.
+    """
     kept = [name for name in keep if name not in ("timestamp", "user_id", "label")]
-    has_label = training and "label_type" in df.columns
+    if training and "label_type" not in df.columns:
+        raise KeyError("training rows need the column label_type")
     return df.select(
         *kept,
         "user_id",
         F.expr("coalesce(timestamp, 0L)").alias("timestamp"),
-        label_of(F.col("label_type") if has_label else F.lit(None), has_label).alias("label"),
+        label_of(F.col("label_type") if training else F.lit(None), training).alias("label"),
         *[F.expr(text).alias(name) for name, text in feature_expressions(layout, mode).items()],
     )
 

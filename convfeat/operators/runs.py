@@ -2,14 +2,15 @@
 
 A history has one row per check: ``run_id``, ``step`` (increasing within the run), ``score``.
 Runs of any length are cut into ranges of rows; between ranges only the best score and the
-number of checks so far are passed on.
+number of checks so far are passed on. A score that is not a number is a check that never improves;
+as a run's first score it stays the best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,36 +22,39 @@ RUN = "run_id"
 def _numbered(history: DataFrame, parts: int | None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``check`` from 1 and the best earlier score, number of checks per run)."""
     chunks = range_chunks(history.select(RUN, "step", "score"), [RUN, "step"], parts)
-    pieces = chunks.groupBy(RUN, CHUNK).agg(F.max("score").alias("top"), F.count("*").alias("n"))
+    number = F.when(~F.isnan("score"), F.col("score"))
+    pieces = chunks.groupBy(RUN, CHUNK).agg(
+        F.max(number).alias("top"), F.count("*").alias("n"), F.min_by("score", "step").alias("head")
+    )
     earlier = Window.partitionBy(RUN).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.select(
         RUN,
         CHUNK,
         F.max("top").over(earlier).alias("__top"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"),
+        F.isnan(F.first("head").over(Window.partitionBy(RUN).orderBy(CHUNK))).alias("__stuck"),
     )
     inside = Window.partitionBy(RUN, CHUNK).orderBy("step")
     above = inside.rowsBetween(Window.unboundedPreceding, -1)
-    rows = chunks.join(carried, [RUN, CHUNK]).select(
-        RUN,
-        "step",
-        "score",
-        (F.col("__n") + F.row_number().over(inside)).alias("check"),
-        F.greatest("__top", F.max("score").over(above)).alias("best_before"),
+    check = F.col("__n") + F.row_number().over(inside)
+    numbered = chunks.join(carried, [RUN, CHUNK]).withColumns(
+        {"check": check, "__best": F.greatest("__top", F.max(number).over(above))}
     )
+    best = F.when(F.col("__stuck") & (F.col("check") > 1), F.lit(float("nan"))).otherwise(F.col("__best"))
+    rows = numbered.select(RUN, "step", "score", "check", best.alias("best_before"))
     return rows, pieces.groupBy(RUN).agg(F.sum("n").alias("checks"))
 
 
-def _fold(batches: Iterator[pd.DataFrame], delta: float) -> Iterator[pd.DataFrame]:
+def _fold(batches: Iterator[pa.RecordBatch], delta: float) -> Iterator[pa.RecordBatch]:
     """Keep the rows that beat the last kept score of their run by more than ``delta``."""
     run, best = None, float("nan")
     for batch in batches:
         kept = []
-        for i, (owner, score) in enumerate(zip(batch[RUN], batch["score"])):
-            if owner != run or score > best + delta:
+        for owner, score in zip(batch.column(RUN).to_pylist(), batch.column("score").to_pylist()):
+            kept.append(owner != run or score > best + delta)
+            if kept[-1]:
                 run, best = owner, score
-                kept.append(i)
-        yield batch.iloc[kept]
+        yield batch.filter(pa.array(kept, pa.bool_()))
 
 
 def _improvements(rows: DataFrame, delta: float) -> DataFrame:
@@ -59,12 +63,13 @@ def _improvements(rows: DataFrame, delta: float) -> DataFrame:
     Only a new maximum can, so all other rows are gone before the ordered pass that a
     positive ``delta`` needs.
     """
-    maxima = rows.filter(F.col("best_before").isNull() | (F.col("score") > F.col("best_before")))
+    above = ~F.isnan("score") & (F.col("score") > F.col("best_before"))
+    maxima = rows.filter(F.col("best_before").isNull() | above)
     maxima = maxima.select(RUN, "step", "score", "check")
     if delta == 0:
         return maxima
     ordered = maxima.repartition(RUN).sortWithinPartitions(RUN, "check")
-    return ordered.mapInPandas(lambda it: _fold(it, delta), maxima.schema)
+    return ordered.mapInArrow(lambda it: _fold(it, delta), maxima.schema)
 
 
 def _judged(

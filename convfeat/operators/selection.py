@@ -53,17 +53,19 @@ def count_ge(df: DataFrame, threshold: int, column: str = "timestamp") -> int:
 def sample_rows(df: DataFrame, n: int, order: Column) -> DataFrame:
     """``n`` rows without replacement: those with the smallest ``order`` (a hash of the row key).
 
-    Found as an order statistic of the hash, so no sorted prefix is gathered anywhere.
+    Found as an order statistic of the hash, so no sorted prefix is gathered anywhere. Of rows that
+    tie at the last hash any may be taken, as many as are wanting.
     """
     hashed = df.withColumn("__order", order)
     [limit] = order_stats(hashed, "__order", lambda rows: [min(n, rows) - 1])
-    return hashed.filter(F.col("__order") <= limit).drop("__order")
+    below = hashed.filter(F.col("__order") < limit)
+    tied = hashed.filter(F.col("__order") == limit).limit(n - below.count())
+    return below.unionByName(tied).drop("__order")
 
 
 def keep_rank(keep: float, rows: int) -> int:
     """0-based rank of the oldest row among the latest ``keep`` share, in float arithmetic."""
-    share = max(0.0, min(1.0, 1.0 - float(keep)))
-    return math.floor(share * (rows - 1))
+    return math.floor((1.0 - keep) * (rows - 1))
 
 
 def recent_thresholds(

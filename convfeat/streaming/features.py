@@ -29,7 +29,7 @@ def feature_stream(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Converted features of a sample stream inside the time bounds."""
-    return convert(filter_time(samples, tmin, tmax), layout, keep=keep)
+    return convert(filter_time(samples, tmin, tmax), layout, "label_type" in samples.columns, keep=keep)
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -97,3 +97,10 @@ def test_places_of_rows(spark, raw, tmp_path):
     raw.write.parquet(str(tmp_path / "data"))
     df = read_samples(spark, str(tmp_path / "data"))
     assert df.filter(F.col("file_path").isNull() | F.col("row_index").isNull()).count() == 0
+
+
+def test_training_needs_labels(spark):
+    df = spark.range(3).selectExpr("id as user_id", "id as timestamp")
+    with pytest.raises(KeyError):
+        convert(df, FeatureLayout())
+    assert {r.label for r in convert(df, FeatureLayout(), training=False).collect()} == {0}

@@ -56,3 +56,13 @@ def test_checkpoints(spark):
 def test_epoch_loss(spark):
     df = spark.createDataFrame([(1, 1, 0.2), (1, 1, 0.4), (1, 2, 0.1)], "run_id long, epoch long, loss double")
     assert {r.epoch: round(r.mean_loss, 9) for r in epoch_loss(df).collect()} == {1: 0.3, 2: 0.1}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("delta", [0.0, 0.05])
+def test_scores_that_are_no_numbers(spark, parts, delta):
+    nan = float("nan")
+    runs = {1: [0.5, nan, 0.6, 0.7], 2: [nan, 0.9, 0.95], 3: [0.5, nan, nan, nan, 0.9]}
+    got = {r.run_id: (r.best_check, r.best_score, r.stop_check) for r in early_stop(history(spark, runs), 3, delta, parts).collect()}
+    assert got[1] == (4, 0.7, None) and got[3] == (1, 0.5, 4)
+    assert got[2][0] == 1 and np.isnan(got[2][1]) and got[2][2] is None

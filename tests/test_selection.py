@@ -131,3 +131,14 @@ def test_shuffle_keeps_rows_whole(spark):
     assert first == again and all(r.twice == 2 * r.id for r in first)
     assert [r.id for r in first] != list(range(300))
     assert first != shuffle_rows(df, ["id"], 2).collect()
+
+
+def test_sample_of_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    from convfeat.operators.selection import sample_rows
+
+    df = spark.range(100).selectExpr("7L as timestamp", "id % 3 as k")
+    assert sample_rows(df, 10, F.lit(1)).count() == 10
+    assert sample_rows(df, 70, F.xxhash64("k")).count() == 70
+    assert sample_rows(df, 500, F.xxhash64("k")).count() == 100
