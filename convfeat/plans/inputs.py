@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,20 @@ def id_tokens(layout: FeatureLayout) -> str:
     )
 
 
+def dense_width(layout: FeatureLayout) -> int:
+    """Numbers in ``dense``: an absent group is one zero, trend segments are as long as the longest."""
+    dims = {f.fid: f.dim for f in layout.user_dense if f.dim > 0}
+    groups = {name: [dims[fid] for fid in fids if fid in dims] for name, fids in DENSE_GROUPS.items()}
+    trend = groups.pop("trend")
+    return sum(sum(group) or 1 for group in groups.values()) + (len(trend) * max(trend) if trend else 1)
+
+
 def model_input(converted: DataFrame, layout: FeatureLayout) -> DataFrame:
-    """Converted samples with the columns the pipeline reads: ``tokens`` and ``dense``."""
+    """Converted samples with the columns the pipeline reads: ``tokens`` and ``dense``.
+
+    The width of ``dense`` is declared, so no row is needed to find it and empty samples can be scored.
+    """
     grouped = dense_groups(converted, layout, **DENSE_GROUPS)
     dense = F.concat("dense_embedding", "dense_statistic", F.flatten("dense_trend"))
-    return grouped.withColumn("tokens", F.expr(id_tokens(layout))).withColumn("dense", array_to_vector(dense))
+    filled = grouped.withColumn("tokens", F.expr(id_tokens(layout))).withColumn("dense", array_to_vector(dense))
+    return VectorSizeHint(inputCol="dense", size=dense_width(layout), handleInvalid="error").transform(filled)

@@ -6,7 +6,7 @@ from convfeat.fixtures.samples import samples
 from convfeat.operators.features import convert
 from convfeat.plans.inputs import model_input
 from convfeat.plans.scoring import predict_job, score
-from convfeat.plans.training import TrainConfig, fit_conversion, train_job
+from convfeat.plans.training import TrainConfig, evaluate, fit_conversion, train_job
 from convfeat.sources.runs import load_run
 from convfeat.sources.samples import write_features
 from convfeat.streaming.features import feature_stream, run_to_parquet, sample_stream
@@ -48,6 +48,14 @@ def test_layout_falls_back_to_the_data_folder(spark, run_dir, tmp_path):
     assert run.layout == MODEL_LAYOUT and run.config == {"kind": "logistic"}
 
 
+def test_empty_samples_are_scored_and_evaluated(spark, data, run_dir):
+    none = spark.read.parquet(data).filter("timestamp < 0")
+    df = model_input(convert(none, MODEL_LAYOUT), MODEL_LAYOUT).select("label", "tokens", "dense")
+    model = load_run(spark, run_dir).model
+    assert score(df, model).count() == 0
+    assert evaluate(df, model).first().asDict() == {"auc": 0.0, "logloss": float("inf")}
+
+
 def test_block_split_training(spark, data, tmp_path):
     config = TrainConfig(data, str(tmp_path), split="block_tail", valid_ratio=0.3, block_rows=50, fit=FIT)
     assert train_job(spark, MODEL_LAYOUT, config).count() == 1
