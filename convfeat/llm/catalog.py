@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convfeat.llm import bpe, chunk_dedup, decontaminate, exact_dedup, jaccard, langid, pii, pitman_yor, quality, suffix_dedup
+from convfeat.llm import (
+    bpe,
+    chunk_dedup,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    jaccard,
+    langid,
+    pii,
+    pitman_yor,
+    quality,
+    suffix_dedup,
+    token_counts,
+    whitening,
+)
 from convfeat.llm.common import table
 
 
@@ -50,6 +64,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.token_count_digests(table(spark, sf_dir, "documents"), path, limit=2048)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chunk_dedup": op1_chunk_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -61,6 +88,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
