@@ -8,13 +8,13 @@ as a run's first score it stays the best.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convfeat.operators.distribution import CHUNK, range_chunks
+from convfeat.session import cut
 
 RUN = "run_id"
 
@@ -45,31 +45,59 @@ def _numbered(history: DataFrame, parts: int | None) -> tuple[DataFrame, DataFra
     return rows, pieces.groupBy(RUN).agg(F.sum("n").alias("checks"))
 
 
-def _fold(batches: Iterator[pa.RecordBatch], delta: float) -> Iterator[pa.RecordBatch]:
-    """Keep the rows that beat the last kept score of their run by more than ``delta``."""
-    run, best = None, float("nan")
-    for batch in batches:
-        kept = []
-        for owner, score in zip(batch.column(RUN).to_pylist(), batch.column("score").to_pylist()):
-            kept.append(owner != run or score > best + delta)
-            if kept[-1]:
-                run, best = owner, score
-        yield batch.filter(pa.array(kept, pa.bool_()))
+def _successors(maxima: DataFrame, delta: float, parts: int | None) -> DataFrame:
+    """Per new maximum: ``next``, the first later maximum of its run above its score plus ``delta``.
 
-
-def _improvements(rows: DataFrame, delta: float) -> DataFrame:
-    """Checks that improved on the best score so far by more than ``delta``.
-
-    Only a new maximum can, so all other rows are gone before the ordered pass that a
-    positive ``delta`` needs.
+    An as-of lookup in sorted ranges: each maximum is a data row at its score and a probe at its
+    score plus ``delta``; data at the probe's own key sorts first and does not count (strictly
+    above). Within a range the next data row follows from a window; across ranges one summary
+    row per range and run carries the first data row onwards.
+    """
+    data = maxima.select(RUN, F.col("score").alias("key"), F.lit(0).alias("kind"), "check")
+    probes = maxima.select(RUN, (F.col("score") + F.lit(delta)).alias("key"), F.lit(1).alias("kind"), "check")
+    chunks = range_chunks(data.unionByName(probes), [RUN, "key", "kind", "check"], parts)
+    found = F.when(F.col("kind") == 0, F.col("check"))
+    later = Window.partitionBy(CHUNK, RUN).orderBy("key", "kind", "check").rowsBetween(1, Window.unboundedFollowing)
+    inside = chunks.withColumn("__inside", F.min(found).over(later))
+    firsts = chunks.groupBy(RUN, CHUNK).agg(F.min(found).alias("__first"))
+    onwards = Window.partitionBy(RUN).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select(RUN, CHUNK, F.min("__first").over(onwards).alias("__carried"))
+    probed = inside.where(F.col("kind") == 1).join(carried, [RUN, CHUNK])
+    return probed.select(RUN, "check", F.coalesce("__inside", "__carried").alias("next"))
+
+
+def _chain(maxima: DataFrame, delta: float, parts: int | None) -> DataFrame:
+    """Maxima that beat the last kept one by more than ``delta``, the first of a run always kept.
+
+    The kept checks are the chain head, next(head), next(next(head)), ... Pointer doubling builds
+    next^(2^i) by joins on (run, check), then the chain grows from the heads level by level; no
+    run passes through one task and no Python runs.
+    """
+    jumps = [cut(_successors(maxima, delta, parts))]
+    longest = jumps[0].groupBy(RUN).count().agg(F.max("count")).first()[0] or 0
+    while (1 << len(jumps)) <= longest:
+        last = jumps[-1]
+        twice = last.alias("a").join(last.alias("b"), (F.col(f"a.{RUN}") == F.col(f"b.{RUN}")) & (F.col("a.next") == F.col("b.check")))
+        jumps.append(cut(twice.select(F.col(f"a.{RUN}").alias(RUN), F.col("a.check").alias("check"), F.col("b.next").alias("next"))))
+    chain = maxima.groupBy(RUN).agg(F.min("check").alias("check"))
+    for jump in jumps:
+        reached = chain.join(jump, [RUN, "check"]).where(F.col("next").isNotNull()).select(RUN, F.col("next").alias("check"))
+        chain = cut(chain.unionByName(reached).distinct())
+    return maxima.join(chain, [RUN, "check"])
+
+
+def _improvements(rows: DataFrame, delta: float, parts: int | None = None) -> DataFrame:
+    """Checks that improved on the best kept score by more than ``delta``.
+
+    Only a new maximum can (a kept score is never below an earlier maximum), so all other rows
+    are gone before the chain of kept maxima is followed.
     """
     above = ~F.isnan("score") & (F.col("score") > F.col("best_before"))
     maxima = rows.filter(F.col("best_before").isNull() | above)
     maxima = maxima.select(RUN, "step", "score", "check")
     if delta == 0:
         return maxima
-    ordered = maxima.repartition(RUN).sortWithinPartitions(RUN, "check")
-    return ordered.mapInArrow(lambda it: _fold(it, delta), maxima.schema)
+    return _chain(maxima, delta, parts)
 
 
 def _judged(
@@ -82,7 +110,7 @@ def _judged(
         sizes = sizes.withColumn("checks", F.least("checks", F.lit(last).cast("long")))
     following = F.lead("check").over(Window.partitionBy(RUN).orderBy("check"))
     gap = F.coalesce(following, F.col("checks") + 1) - F.col("check")
-    better = _improvements(rows, delta).join(sizes, RUN)
+    better = _improvements(rows, delta, parts).join(sizes, RUN)
     return rows, better.withColumn("stop", F.when(gap > patience, F.col("check") + patience))
 
 

@@ -66,3 +66,23 @@ def test_scores_that_are_no_numbers(spark, parts, delta):
     got = {r.run_id: (r.best_check, r.best_score, r.stop_check) for r in early_stop(history(spark, runs), 3, delta, parts).collect()}
     assert got[1] == (4, 0.7, None) and got[3] == (1, 0.5, 4)
     assert got[2][0] == 1 and np.isnan(got[2][1]) and got[2][2] is None
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_least_improvement_on_a_long_rising_run(spark, parts):
+    """Every check a new maximum; a least improvement of 1.5 steps keeps every second one."""
+    runs = {7: list(np.arange(300) / 1000), 8: [0.1] * 5, 9: list(np.arange(40) / 1000)[::-1]}
+    df = history(spark, runs)
+    got = {r.run_id: (r.best_check, r.best_score, r.stop_check) for r in early_stop(df, 4, 0.0015, parts).collect()}
+    want = {run: by_hand(list(s), 4, 0.0015) for run, s in runs.items()}
+    assert got == {run: w[:3] for run, w in want.items()}
+    kept = sorted(r.check for r in first_improving_steps(df, 4, 0.0015, parts).collect() if r.run_id == 7)
+    assert kept == want[7][3] and kept[:3] == [1, 3, 5]
+
+
+def test_least_improvement_runs_in_the_jvm(spark):
+    from convfeat.operators.runs import _improvements, _numbered
+
+    rows, _ = _numbered(history(spark, {1: [0.1, 0.2, 0.5, 0.52, 0.9]}), 2)
+    plan = _improvements(rows, 0.05, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
