@@ -1,7 +1,8 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token.
 
 A text is split the way its tokenizer splits it before the model runs: special strings, then the
-normaliser and the pre-tokeniser. Every document becomes rows (row, pre-token, how often). The
+normaliser (the library's) and the pre-tokeniser's split pattern, read from the tokenizer file;
+its byte mapping is a bijection and is left to the counting of pieces. Every document becomes rows (row, pre-token, how often). The
 distinct pre-tokens are tokenised once each and only their number of pieces is kept; that count is
 joined to the per-document frequencies and summed. No token id is ever made.
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -37,50 +37,62 @@ HEAVY_PARTS = 4096
 
 @lru_cache(2)
 def _tokenizer(config: str):
-    from tokenizers import Tokenizer
+    """The tokenizer, its special strings as one pattern, its split pattern, and the bare model.
+
+    The bare model has no normaliser and only the byte mapping as pre-tokeniser, so a batch of
+    distinct pre-tokens is encoded as they are, each one word.
+    """
+    import regex
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_str(config)
-    specials = [t["content"] for t in json.loads(config).get("added_tokens", []) if t.get("special")]
+    settings = json.loads(config)
+    specials = [t["content"] for t in settings.get("added_tokens", []) if t.get("special")]
     split = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
-    return tokenizer, split
-
-
-def pre_tokens(text: str | None, config: str) -> tuple[Counter, int]:
-    """The pre-tokens of one text with their frequencies, and the number of special strings in it."""
-    tokenizer, split = _tokenizer(config)
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    patterns = [p["pattern"]["Regex"] for p in steps if p.get("type") == "Split" and p.get("invert") and p.get("behavior") == "Removed"]
+    if len(patterns) != 1 or any(p.get("type") not in ("Split", "ByteLevel") for p in steps):
+        raise ValueError("the counting needs a pre-tokeniser of one inverted Split and a ByteLevel step")
+    bare = Tokenizer.from_str(config)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return tokenizer, split, regex.compile(patterns[0]), bare
+
+
+def pre_tokens(text: str | None, config: str) -> tuple[list[str], int]:
+    """The pre-tokens of one text (before the byte mapping, a bijection) and the number of special strings."""
+    tokenizer, split, pattern, _ = _tokenizer(config)
     text = text or ""
     parts, specials = ([text], 0) if split is None else (split.split(text), len(split.findall(text)))
-    counts: Counter = Counter()
+    found: list[str] = []
     for part in parts:
-        if not part:
-            continue
-        normal = tokenizer.normalizer.normalize_str(part) if tokenizer.normalizer else part
-        if tokenizer.pre_tokenizer is None:
-            counts[normal] += 1
-        else:
-            counts.update(piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal))
-    return counts, specials
+        if part:
+            found.extend(pattern.findall(tokenizer.normalizer.normalize_str(part) if tokenizer.normalizer else part))
+    return found, specials
 
 
-def pieces(pre_token: str, config: str) -> int:
-    """How many tokens the model makes of one pre-token."""
-    return len(_tokenizer(config)[0].model.tokenize(pre_token))
+def pieces(pre_token_list: list[str], config: str) -> list[int]:
+    """How many tokens the model makes of each pre-token, in one batch."""
+    bare = _tokenizer(config)[3]
+    return [len(e.ids) for e in bare.encode_batch(pre_token_list, add_special_tokens=False)]
 
 
 def _frequencies(rows: DataFrame, config) -> DataFrame:
     """(rid, pre_token, freq); a null pre-token stands for the special strings of the row, one piece each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rid, token, freq = [], [], []
+        owners, tokens, special_rid, special_n = [], [], [], []
         for key, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
-            counts, specials = pre_tokens(text, config.value)
-            for piece, n in counts.items():
-                rid.append(key), token.append(piece), freq.append(n)
+            found, specials = pre_tokens(text, config.value)
+            tokens.extend(found)
+            owners.extend([key] * len(found))
             if specials:
-                rid.append(key), token.append(None), freq.append(specials)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rid, pa.int64()), pa.array(token, pa.string()), pa.array(freq, pa.int64())], names=["rid", "pre_token", "freq"]
-        )
+                special_rid.append(key), special_n.append(specials)
+        flat = pa.table({"rid": pa.array(owners, pa.int64()), "pre_token": pa.array(tokens, pa.string())})
+        counted = flat.group_by(["rid", "pre_token"]).aggregate([("pre_token", "count")])
+        special = pa.table({"rid": pa.array(special_rid, pa.int64()), "pre_token": pa.nulls(len(special_rid), pa.string()), "freq": pa.array(special_n, pa.int64())})
+        counted = pa.table({"rid": counted["rid"], "pre_token": counted["pre_token"], "freq": counted["pre_token_count"].cast(pa.int64())})
+        return pa.concat_tables([counted, special]).combine_chunks().to_batches()[0] if counted.num_rows + special.num_rows else pa.RecordBatch.from_pylist([], schema=counted.schema)
 
     return map_texts(rows.select("rid", F.col("row.text").alias("text")), run, "rid long, pre_token string, freq long")
 
@@ -89,7 +101,7 @@ def _piece_counts(frequencies: DataFrame, config) -> DataFrame:
     """Every distinct pre-token once: the rows it occurs in and its number of pieces."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = [pieces(p, config.value) for p in batch.column("pre_token").to_pylist()]
+        counts = pieces(batch.column("pre_token").to_pylist(), config.value)
         return pa.RecordBatch.from_arrays([batch.column("pre_token"), batch.column("rows"), pa.array(counts, pa.int64())], names=["pre_token", "rows", "n_pieces"])
 
     distinct = frequencies.where(F.col("pre_token").isNotNull()).groupBy("pre_token").agg(F.count(F.lit(1)).alias("rows"))
