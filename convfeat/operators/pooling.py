@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convfeat.operators.lookup import hashed_lookup, lookup, lookup_embedding, zeros
+from convfeat.functions.ids import hash_seq
+from convfeat.functions.scoring import sigmoid
+from convfeat.operators.lookup import keyed_join, lookup, zeros
 
 
 def _sums(prefix: str, vector: str, width: int, weight: str = "") -> list[Column]:
@@ -45,6 +47,28 @@ class TokenSource:
     gate_logit: float = 0.0
 
 
+def _feature_tables(sources: dict[int, TokenSource], lists: Sequence[str], bucket_table: DataFrame | None) -> DataFrame | None:
+    """All vector tables in one: (``__fid`` "feature:id", vec), hashed tables already scaled by their gate."""
+    tables = []
+    for i, (name, source) in enumerate(zip(lists, sources.values())):
+        if source.route not in ("table", "hash"):
+            continue
+        vec = F.col("vec").cast("array<double>")
+        if source.route == "hash":
+            gate = sigmoid(F.lit(float(source.gate_logit)))
+            vec = F.transform(vec, lambda x: x * gate)
+        tables.append(source.table.select(F.concat_ws(":", F.lit(i), F.col("id").cast("long")).alias("__fid"), vec.alias("__vec")))
+    if bucket_table is not None:
+        fid = F.concat_ws(":", F.lit(len(lists) - 1), F.col("id").cast("long"))
+        tables.append(bucket_table.select(fid.alias("__fid"), F.col("vec").cast("array<double>").alias("__vec")))
+    if not tables:
+        return None
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 def sequence_tokens(
     df: DataFrame,
     key: str,
@@ -58,30 +82,39 @@ def sequence_tokens(
 
     ``df`` is converted. A time-gap vector comes last when ``bucket_table`` is given. A sample
     without events keeps one row with null ``pos`` and ``token``.
+
+    All side features share one lookup: every (position, feature) becomes a row with the key
+    "feature:id" of its table row, one sketch finds the frequent keys of all features, one
+    salted join fetches the vectors, and one grouping by (key, pos) puts them back side by side
+    in feature order. The number of passes does not grow with the number of features.
     """
     lists = [f"{domain}_{fid}" for fid in sources]
     if bucket_table is not None:
         lists.append(f"{domain}_time_bucket")
     valid = df.select(key, *carry, *[F.slice(c, F.lit(1), F.col(f"{domain}_len")).alias(c) for c in lists])
     rows = valid.select(key, *carry, F.posexplode_outer(F.arrays_zip(*lists)).alias("pos", "__event"))
-    rows = rows.select(key, *carry, "pos", *[F.col(f"__event.{c}").alias(c) for c in lists])
-    parts = []
-    for i, (fid, source) in enumerate(sources.items()):
-        name = f"{domain}_{fid}"
-        if source.route == "table":
-            rows = lookup_embedding(rows, name, source.table, part_width, [key, "pos"], f"__part{i}")
-        elif source.route == "hash":
-            rows = hashed_lookup(
-                rows, name, source.table, source.buckets, source.gate_logit, part_width, [key, "pos"], f"__part{i}"
-            )
-        else:
-            rows = rows.withColumn(f"__part{i}", zeros(part_width))
-        parts.append(F.col(f"__part{i}"))
-    if bucket_table is not None:
-        rows = lookup_embedding(rows, f"{domain}_time_bucket", bucket_table, part_width, [key, "pos"], "__gap")
-        parts.append(F.col("__gap"))
-    token = F.when(F.col("pos").isNotNull(), F.concat(*parts))
-    return rows.select(key, *carry, "pos", token.alias("token"))
+    routes = [s.route for s in sources.values()] + (["table"] if bucket_table is not None else [])
+    hashed = {i: s.buckets for i, s in enumerate(sources.values()) if s.route == "hash"}
+    keys = []
+    for i, name in enumerate(lists):
+        raw = F.col(f"__event.{name}")
+        looked = F.expr(hash_seq(f"__event.`{name}`", hashed[i])) if i in hashed else raw
+        fid = F.when(looked > 0, F.concat_ws(":", F.lit(i), looked.cast("long"))) if routes[i] in ("table", "hash") else F.lit(None).cast("string")
+        keys.append(F.struct(F.lit(i).alias("f"), fid.alias("__fid")))
+    first = [F.when(F.col("__part.f") == 0, F.col(c)).alias(c) for c in carry]
+    parts = rows.select(key, "pos", *[F.col(c).alias(c) for c in carry], F.explode(F.array(*keys)).alias("__part"))
+    parts = parts.select(key, "pos", *first, F.col("__part.f").alias("__f"), F.col("__part.__fid").alias("__fid"))
+    table = _feature_tables(sources, lists, bucket_table)
+    if table is None:
+        found = parts.withColumn("__vec", F.lit(None).cast("array<double>"))
+    else:
+        found = keyed_join(parts, table, "__fid", [key, "pos", "__f"])
+    found = found.withColumn("__vec", F.coalesce("__vec", zeros(part_width)))
+    grouped = found.groupBy(key, "pos").agg(
+        *[F.max(c).alias(c) for c in carry], F.sort_array(F.collect_list(F.struct("__f", "__vec"))).alias("__parts")
+    )
+    token = F.when(F.col("pos").isNotNull(), F.flatten(F.transform("__parts", lambda p: p["__vec"])))
+    return grouped.select(key, *carry, "pos", token.alias("token"))
 
 
 def sequence_mean(tokens: DataFrame, key: str, width: int, out: str = "vec") -> DataFrame:

@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,41 @@ def test_tokens_side_by_side(spark, table):
     assert close(got[(1, 1)], np.concatenate([vec(0), np.zeros(3), vec(2)]))
 
 
+def _jobs_while(spark, build):
+    """Spark jobs started while ``build()`` makes its plan and runs it once."""
+    tracker, group = spark.sparkContext.statusTracker(), f"counted-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        build()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_one_lookup_for_all_side_features(spark, table, setting):
+    """Shuffled tables: the jobs do not grow with the number of side features, hashed or not."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.enabled", "false")
+    base = converted(spark)
+
+    def tokens(n):
+        df = base
+        sources = {}
+        for f in range(1, n + 1):
+            df = df.withColumn(f"s_{f}", F.col("s_1"))
+            sources[f] = TokenSource("hash", table, buckets=7, gate_logit=0.5) if f % 2 == 0 else TokenSource("table", table)
+        return sequence_tokens(df, "key", "s", sources, 3, table)
+
+    one = _jobs_while(spark, lambda: tokens(1).collect())
+    five = _jobs_while(spark, lambda: tokens(5).collect())
+    assert one == five
+    got = {(r.key, r.pos): r.token for r in tokens(4).collect()}
+    gate = 1 / (1 + np.exp(-0.5))
+    hashed = lambda i: vec(i % 7 + 1) * gate if i > 0 else np.zeros(3)
+    want = np.concatenate([vec(4), hashed(4), vec(4), hashed(4), vec(3)])
+    assert close(got[(1, 2)], want) and got[(2, None)] is None
+
+
 def softmax_mean(query, ids, score):
     tokens = np.array([vec(i) for i in ids])
     z = np.array([score(query, t) for t in tokens])
