@@ -77,8 +77,16 @@ def pieces(pre_token_list: list[str], config: str) -> list[int]:
     return [len(e.ids) for e in bare.encode_batch(pre_token_list, add_special_tokens=False)]
 
 
-def _frequencies(rows: DataFrame, config) -> DataFrame:
-    """(rid, pre_token, freq); a null pre-token stands for the special strings of the row, one piece each."""
+FREQUENCIES = "rid long, pre_token string, freq long, doc_id long, n_bytes long"
+
+
+def _frequencies(source: DataFrame, config) -> DataFrame:
+    """(rid, pre_token, freq) per distinct pre-token of a row, and two kinds of rows without a pre-token:
+    the special strings of a row (``freq`` their number, one piece each) and one row per document
+    (``n_bytes`` set, with ``doc_id``), so that no other copy of the documents is needed.
+
+    ``source`` has rid, text, doc_id and n_bytes.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, tokens, special_rid, special_n = [], [], [], []
@@ -90,11 +98,18 @@ def _frequencies(rows: DataFrame, config) -> DataFrame:
                 special_rid.append(key), special_n.append(specials)
         flat = pa.table({"rid": pa.array(owners, pa.int64()), "pre_token": pa.array(tokens, pa.string())})
         counted = flat.group_by(["rid", "pre_token"]).aggregate([("pre_token", "count")])
-        special = pa.table({"rid": pa.array(special_rid, pa.int64()), "pre_token": pa.nulls(len(special_rid), pa.string()), "freq": pa.array(special_n, pa.int64())})
-        counted = pa.table({"rid": counted["rid"], "pre_token": counted["pre_token"], "freq": counted["pre_token_count"].cast(pa.int64())})
-        return pa.concat_tables([counted, special]).combine_chunks().to_batches()[0] if counted.num_rows + special.num_rows else pa.RecordBatch.from_pylist([], schema=counted.schema)
+        none = lambda n: pa.nulls(n, pa.int64())
+        parts = [
+            pa.table({"rid": counted["rid"], "pre_token": counted["pre_token"], "freq": counted["pre_token_count"].cast(pa.int64()),
+                      "doc_id": none(counted.num_rows), "n_bytes": none(counted.num_rows)}),
+            pa.table({"rid": pa.array(special_rid, pa.int64()), "pre_token": pa.nulls(len(special_rid), pa.string()),
+                      "freq": pa.array(special_n, pa.int64()), "doc_id": none(len(special_rid)), "n_bytes": none(len(special_rid))}),
+            pa.table({"rid": batch.column("rid"), "pre_token": pa.nulls(batch.num_rows, pa.string()), "freq": none(batch.num_rows),
+                      "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")}),
+        ]
+        return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
-    return map_texts(rows.select("rid", F.col("row.text").alias("text")), run, "rid long, pre_token string, freq long")
+    return map_texts(source.select("rid", "text", "doc_id", "n_bytes"), run, FREQUENCIES)
 
 
 def _piece_counts(frequencies: DataFrame, config) -> DataFrame:
@@ -108,29 +123,28 @@ def _piece_counts(frequencies: DataFrame, config) -> DataFrame:
     return distinct.mapInArrow(lambda batches: (run(b) for b in batches), "pre_token string, rows long, n_pieces long")
 
 
-def _counted(documents: DataFrame, tokenizer_path: str, heavy_parts: int = HEAVY_PARTS) -> tuple[DataFrame, DataFrame]:
-    """The stored rows (``row``, ``rid``, ``n_bytes``) and ``n_tokens`` by ``rid`` for rows with any token."""
-    spark = documents.sparkSession
+def _counted(source: DataFrame, tokenizer_path: str, heavy_parts: int = HEAVY_PARTS) -> tuple[DataFrame, DataFrame]:
+    """(documents: rid, doc_id, n_bytes; n_tokens by rid for rows with any token) of a ``source`` with rid and text."""
+    spark = source.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         config = spark.sparkContext.broadcast(file.read())
-    made = as_row(documents).withColumn("rid", F.monotonically_increasing_id())
-    made = made.withColumn("n_bytes", F.octet_length(F.coalesce(F.col("row.text"), F.lit(""))).cast("long"))
-    rows = written(made, "token-rows")
-    frequencies = written(_frequencies(rows, config), "pre-tokens")
+    frequencies = written(_frequencies(source, config), "pre-tokens")
     counted = written(_piece_counts(frequencies, config), "piece-counts")
-    total = frequencies.count()
+    known = frequencies.where(F.col("pre_token").isNotNull())
+    total = known.count()
     bound = max(math.ceil(total / heavy_parts), 1)
     heavy = counted.where(F.col("rows") > bound).select("pre_token", "n_pieces")
     light = counted.where(F.col("rows") <= bound).select("pre_token", "n_pieces")
-    known = frequencies.where(F.col("pre_token").isNotNull())
+    specials = frequencies.where(F.col("pre_token").isNull() & F.col("freq").isNotNull())
     summed = (
-        known.join(F.broadcast(heavy), "pre_token")
-        .unionByName(known.join(F.broadcast(heavy.select("pre_token")), "pre_token", "left_anti").join(light, "pre_token"))
-        .unionByName(frequencies.where(F.col("pre_token").isNull()).withColumn("n_pieces", F.lit(1).cast("long")))
+        known.select("rid", "pre_token", "freq").join(F.broadcast(heavy), "pre_token")
+        .unionByName(known.select("rid", "pre_token", "freq").join(F.broadcast(heavy.select("pre_token")), "pre_token", "left_anti").join(light, "pre_token"))
+        .unionByName(specials.select("rid", "pre_token", "freq", F.lit(1).cast("long").alias("n_pieces")))
         .groupBy("rid")
         .agg(F.sum(F.col("freq") * F.col("n_pieces")).alias("n_tokens"))
     )
-    return rows, summed
+    documents = frequencies.where(F.col("n_bytes").isNotNull()).select("rid", "doc_id", "n_bytes")
+    return documents, summed
 
 
 def _finished(rows: DataFrame, summed: DataFrame, limit: int) -> DataFrame:
@@ -138,17 +152,27 @@ def _finished(rows: DataFrame, summed: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit)).drop("rid")
 
 
+def _source(rows: DataFrame, text: str, doc_id) -> DataFrame:
+    return rows.select("rid", F.col(text).alias("text"), doc_id.cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
+
+
 def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = 2048, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
     """``row`` (all columns of ``documents``) with ``n_bytes``, ``n_tokens`` and ``over_limit`` (``n_tokens > limit``).
 
-    The tokenizer file is read once on the driver and broadcast (a fixed vocabulary, not data).
+    The rows are stored once with their number ``rid``, to be joined back. The tokenizer file is
+    read once on the driver and broadcast (a fixed vocabulary, not data).
     """
-    rows, summed = _counted(documents, tokenizer_path, heavy_parts)
-    return _finished(rows, summed, limit)
+    rows = written(as_row(documents).withColumn("rid", F.monotonically_increasing_id()), "token-rows")
+    counted, summed = _counted(_source(rows, "row.text", F.lit(None)), tokenizer_path, heavy_parts)
+    return _finished(rows.join(counted.select("rid", "n_bytes"), "rid"), summed, limit)
 
 
-def token_count_digests(documents: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit per document; texts are not carried through the join."""
-    rows, summed = _counted(documents.select("doc_id", "text"), tokenizer_path)
-    out = _finished(rows.select("rid", F.col("row.doc_id").alias("doc_id"), "n_bytes"), summed, limit)
-    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+def token_count_digests(documents: DataFrame, tokenizer_path: str, limit: int = 2048, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit per document.
+
+    The texts are read once, by the pre-token pass, which also leaves one row per document; no
+    copy of the texts is stored and none goes through a join.
+    """
+    source = _source(documents.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "text", F.col("doc_id"))
+    counted, summed = _counted(source, tokenizer_path, heavy_parts)
+    return _finished(counted, summed, limit).select("doc_id", "n_bytes", "n_tokens", "over_limit")

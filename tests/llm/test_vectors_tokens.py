@@ -32,6 +32,8 @@ def test_token_counts_equal_library(spark, heavy_parts):
     assert got == want
     row_columns = {"doc_id", "text", "lang", "row", "rid", "score", "hits"}
     assert set(out[0].row.asDict()) == row_columns
+    digests = token_counts.token_count_digests(frame(spark, texts), WORD_BPE, limit=100, heavy_parts=heavy_parts).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in digests) == sorted((i, b, n, o) for i, _, b, n, o in want)
 
 
 def test_token_counts_empty_table(spark):
