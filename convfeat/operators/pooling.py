@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convfeat.functions.ids import hash_seq
@@ -142,6 +142,21 @@ def match_score(query: str, token: str, width: int, weights: Sequence[float] | N
     )
 
 
+def _softmax_state(pairs: str, width: int) -> Column:
+    """Fold of (score, token) pairs into the softmax state (m, z, a), as SQL text.
+
+    m is the largest score so far, z the sum of exp(score - m), a the sum of exp(score - m) * token;
+    each step rescales the state by exp(m - m'), so no exponent ever exceeds 0.
+    """
+    zero = f"array({', '.join(['0D'] * width)})"
+    start = f"named_struct('m', double('-Infinity'), 'z', 0D, 'a', {zero})"
+    peak = "greatest(acc.m, p.score)"
+    keep, add = f"exp(acc.m - {peak})", f"exp(p.score - {peak})"
+    merged = ", ".join(f"get(acc.a, {i}) * {keep} + get(p.token, {i}) * {add}" for i in range(width))
+    step = f"named_struct('m', {peak}, 'z', acc.z * {keep} + {add}, 'a', array({merged}))"
+    return F.expr(f"aggregate(filter({pairs}, p -> p.token IS NOT NULL), {start}, (acc, p) -> {step})")
+
+
 def pool_tokens(
     tokens: DataFrame,
     key: str,
@@ -151,25 +166,22 @@ def pool_tokens(
     mean: str = "mean_vec",
     attention: str = "attention_vec",
 ) -> DataFrame:
-    """(key, plain mean, mean weighted by the softmax of the match scores) from one shuffle.
+    """(key, plain mean, mean weighted by the softmax of the match scores) from one exchange by ``key``.
 
-    Scores are shifted by their maximum per sample. Samples without tokens get zero vectors.
-    A sample holds at most ``max_len`` tokens, so its window stays small.
+    No window: the sums of the plain mean combine before the exchange, and the softmax is the
+    fold of a mergeable state (running maximum, scaled sum, scaled weighted sums) over the scored
+    tokens of a sample, which hold at most ``max_len`` tokens. Samples without tokens get zero
+    vectors.
     """
     scored = tokens.withColumn("__score", F.expr(match_score(query, "token", width, weights)))
-    peak = F.max("__score").over(Window.partitionBy(key))
-    weighted = scored.withColumn("__w", F.exp(F.col("__score") - peak)).drop("__score", query)
-    summed = weighted.groupBy(key).agg(
+    summed = scored.groupBy(key).agg(
         F.count("token").alias("__n"),
-        F.sum("__w").alias("__z"),
         *_sums("s", "token", width),
-        *_sums("a", "token", width, "__w"),
-    )
-    return summed.select(
-        key,
-        _divided("s", width, "greatest(__n, 1)").alias(mean),
-        _divided("a", width, "coalesce(__z, 1D)").alias(attention),
+        F.collect_list(F.struct(F.col("__score").alias("score"), F.col("token").alias("token"))).alias("__pairs"),
     )
+    state = summed.withColumn("__state", _softmax_state("__pairs", width))
+    share = F.expr(f"transform(__state.a, x -> x / CASE WHEN __state.z > 0 THEN __state.z ELSE 1D END)")
+    return state.select(key, _divided("s", width, "greatest(__n, 1)").alias(mean), share.alias(attention))
 
 
 def attention_pool(

@@ -164,3 +164,10 @@ def test_match_features(spark, table):
     query = (vec(3) + 1) / 2
     assert close(got[3], np.concatenate([query, vec(2), vec(8), vec(8)]))
     assert close(got[2][6:], np.zeros(6))
+
+
+def test_attention_plan_has_one_exchange_and_no_window(spark):
+    rows = [(k, p, [float(k), float(p), 1.0], [0.5, -0.5, 1.0]) for k in range(6) for p in range(3)]
+    tokens = spark.createDataFrame(rows, "key long, pos int, token array<double>, query array<double>")
+    plan = attention_pool(tokens, "key", 3, "query")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
