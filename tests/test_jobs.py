@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,27 @@ def test_factorisation_model(spark, data):
         fit_conversion(df, "factorisation", alpha=0.2)
     with pytest.raises(ValueError):
         fit_conversion(df, "forest")
+
+
+def test_keyed_upsert_in_any_batch_order(spark, tmp_path):
+    """Batches out of order and repeated give each user's last row; the sink holds one row per user."""
+    from convfeat.streaming.scoring import KEEP_VERSIONS, upsert_batch
+
+    rng = np.random.default_rng(3)
+    rows = [(int(u), f"f{f}", int(r), float(rng.random())) for f in range(6) for r in range(20) for u in rng.integers(0, 15, 1)]
+    schema = "user_id long, file_path string, row_index long, prob double"
+    batches = {f: spark.createDataFrame([x for x in rows if x[1] == f"f{f}"], schema) for f in range(6)}
+    sink = str(tmp_path / "sink")
+    for batch_id, f in enumerate([3, 0, 5, 1, 4, 2]):
+        upsert_batch(batches[f], sink, batch_id)
+    upsert_batch(batches[2], sink, 5)  # the last batch once more, as after a failure
+    live = {r.user_id: r.prob for r in current_predictions(spark, sink).collect()}
+    want = {}
+    for user, path, row, prob in sorted(rows, key=lambda x: (x[1], x[2])):
+        want[user] = prob
+    assert live == want
+    versions = spark.read.parquet(sink + "/v=0").count()
+    assert versions == 0 and KEEP_VERSIONS == 2  # emptied: the sink follows the users
+    # a version written but never committed stays invisible
+    spark.createDataFrame([(999, "f9", 0, 0.5)], schema).write.parquet(sink + "/v=6")
+    assert {r.user_id: r.prob for r in current_predictions(spark, sink).collect()} == want
