@@ -53,7 +53,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,}")
+# at most 34 characters: a candidate costs bounded work wherever the search resumes
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _CONTEXT = {kind: re.compile(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])") for kind, words in CONTEXT.items()}
 
@@ -94,7 +95,7 @@ def _emails(text: str):
 
 def _ips(text: str):
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in m[0].split(".")):
             yield m.span()
 
 
@@ -111,7 +112,9 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
+    """Candidates cut at their country's length; after a failed one the search resumes at its next character."""
+    m = _IBAN.search(text)
+    while m:
         left, end = IBAN_LENGTH.get(m[0][:2], 0), m.start()
         while left and end < m.end():
             left -= text[end] != " "
@@ -119,6 +122,9 @@ def _ibans(text: str):
         follows = text[end : end + 1]
         if not left and end > m.start() and not (follows.isascii() and follows.isalnum()) and mod97(text[m.start() : end].replace(" ", "")):
             yield m.start(), end
+            m = _IBAN.search(text, end)
+        else:
+            m = _IBAN.search(text, m.start() + 1)
 
 
 def _ssns(text: str):

@@ -88,6 +88,20 @@ def test_personal_data(spark):
     assert "iban:" in rows[22].spans and "ssn:" in rows[22].spans
 
 
+def test_long_digit_runs_and_ibans_in_a_row(spark):
+    """An ip part of 5,000 leading zeros is a valid base ip; two IBANs in a row, or one behind a failed candidate, are both found."""
+    ip = "0" * 5000 + "1.2.3.4"
+    two = "pay DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 now"
+    behind = "XX11 AAAAAAAAAAA DE89 3704 0044 0532 0130 00"
+    rows = {r.doc_id: r for r in pii.span_digests(frame(spark, [(1, ip), (2, two), (3, behind), (4, "9" * 6000 + ".1.1.1")])).collect()}
+    assert rows[1].n_ip == 1 and f"ip:0:{len(ip)}" in rows[1].spans
+    assert rows[4].n_ip == 0
+    ibans = [(s.start, s.end) for s in pii.find(two) if s.kind == "iban"]
+    assert [two[a:b] for a, b in ibans] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert [behind[s.start : s.end] for s in pii.find(behind) if s.kind == "iban"] == ["DE89 3704 0044 0532 0130 00"]
+    assert rows[2].spans.count("iban:") == 2 and rows[3].spans.count("iban:") == 1
+
+
 def test_checksums():
     assert pii.luhn("79927398713") and not pii.luhn("79927398710")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
