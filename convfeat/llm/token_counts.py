@@ -8,8 +8,9 @@ joined to the per-document frequencies and summed. No token id is ever made.
 
 The join is on the pre-token, which is as skewed as words are. Pre-tokens that occur in more than
 ``1 / HEAVY_PARTS`` of all (document, pre-token) rows are few by construction (fewer than
-``HEAVY_PARTS``), so their counts are broadcast and joined where the documents lie; all others meet
-in a shuffle join in which no key holds more than that share of the rows.
+``HEAVY_PARTS``), so their counts are broadcast and joined where the documents lie, and those rows
+combine per document before the final shuffle; all others meet in a shuffle join in which no key
+holds more than that share of the rows.
 
 Cases: a null text counts as empty and has 0 tokens, as has an empty or blank text. Special strings
 inside a text (``<|startoftext|>``, ``<|endoftext|>`` for the word BPE) are one token each, as the
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from convfeat.llm.common import as_row, map_texts, written
 
-#: A pre-token found in more rows than this share of all rows is broadcast with its count.
-HEAVY_PARTS = 4096
+#: A pre-token found in more than 1 / HEAVY_PARTS of all (document, pre-token) rows is broadcast with
+#: its count: fewer than HEAVY_PARTS keys, of at most HEAVY_PARTS times the mean pre-token length in
+#: all. Their rows join where they lie and combine per document before the shuffle.
+HEAVY_PARTS = 1 << 16
 
 
 @lru_cache(2)
