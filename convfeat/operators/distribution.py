@@ -56,11 +56,75 @@ def cumulative_sum(
     return chunks.select(*columns)
 
 
+#: Buckets per cell and round of the histogram refinement.
+CELLS = 1 << 16
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _refined(df: DataFrame, column: str, ranks: Callable[[int], Sequence[int]]) -> list[int | None]:
+    """Order statistics of an integral column by histogram refinement.
+
+    A first pass counts rows and nulls and finds the smallest and largest value. Each further pass
+    counts, for every cell that still holds a wanted rank, its rows in ``CELLS`` equal buckets
+    (partial aggregation; at most cells x ``CELLS`` rows reach the driver); a rank's cell shrinks to
+    the bucket that holds it. A 64-bit range needs at most four such passes. Nulls rank first.
+    """
+    value = F.col(column).cast("decimal(20,0)")
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("present"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    if not first["n"]:
+        raise ValueError(f"no rows to rank by {column!r}")
+    nulls = first["n"] - first["present"]
+    wanted = list(ranks(first["n"]))
+    found: dict[int, int | None] = {i: None for i, rank in enumerate(wanted) if rank < nulls}
+    open_ = {i: (int(first["lo"]), int(first["hi"]), rank - nulls) for i, rank in enumerate(wanted) if rank >= nulls}
+    while open_:
+        for i, (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[i] = lo
+                del open_[i]
+        if not open_:
+            break
+        cells = sorted({(lo, hi) for lo, hi, _ in open_.values()})
+        cell = F.lit(None).cast("int")
+        bucket = F.lit(None).cast("long")
+        for j, (lo, hi) in enumerate(reversed(cells)):
+            inside = value.between(F.lit(lo).cast("decimal(20,0)"), F.lit(hi).cast("decimal(20,0)"))
+            cell = F.when(inside, F.lit(len(cells) - 1 - j)).otherwise(cell)
+            scaled = F.expr(f"(({column} - CAST({lo} AS DECIMAL(20,0))) * {CELLS}) div CAST({hi - lo + 1} AS DECIMAL(20,0))")
+            bucket = F.when(inside, scaled.cast("long")).otherwise(bucket)
+        counted = df.select(cell.alias("cell"), bucket.alias("bucket")).where(F.col("cell").isNotNull())
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for row in counted.groupBy("cell", "bucket").count().collect():
+            counts.setdefault(row["cell"], []).append((row["bucket"], row["count"]))
+        for i, (lo, hi, rank) in list(open_.items()):
+            size, below = hi - lo + 1, 0
+            for b, n in sorted(counts[cells.index((lo, hi))]):
+                if below + n > rank:
+                    open_[i] = (lo + -(-b * size // CELLS), lo + -(-(b + 1) * size // CELLS) - 1, rank - below)
+                    break
+                below += n
+    return [found[i] for i in range(len(wanted))]
+
+
 def order_stats(
     df: DataFrame, column: str, ranks: Callable[[int], Sequence[int]], parts: int | None = None
 ) -> list[int]:
     """Exact order statistics of a column; ``ranks`` maps the row count to 0-based ranks.
 
+    Integral columns go by histogram refinement (``_refined``): passes over the column, no range
+    shuffle and no stored copy. Other columns count equal values before the shuffle, and only
+    the range that holds a rank is ordered.
+    """
+    if dict(df.select(column).dtypes)[column] in _INTEGRAL:
+        return _refined(df, column, ranks)
+    return _ranged(df, column, ranks, parts)
+
+
+def _ranged(
+    df: DataFrame, column: str, ranks: Callable[[int], Sequence[int]], parts: int | None = None
+) -> list[int]:
+    """Exact order statistics of a column; ``ranks`` maps the row count to 0-based ranks.
+
     Equal values are counted together before the shuffle, and only the chunk that holds a
     rank is ordered.
     """

@@ -142,3 +142,18 @@ def test_sample_of_equal_rows(spark):
     assert sample_rows(df, 10, F.lit(1)).count() == 10
     assert sample_rows(df, 70, F.xxhash64("k")).count() == 70
     assert sample_rows(df, 500, F.xxhash64("k")).count() == 100
+
+
+@pytest.mark.parametrize("spread", [3, 10**6, 2**62])
+def test_order_stats_by_refinement_equal_sorting(spark, spread):
+    """Ties, negatives, 64-bit extremes and nulls (ranked first) against a sorted list."""
+    import random
+
+    from convfeat.operators.distribution import order_stats
+
+    rng = random.Random(spread)
+    values = [rng.randint(-spread, spread) for _ in range(3000)] + [-(2**63), 2**63 - 1, 0, 0, 0] + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(5)
+    ordered = sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
+    ranks = [0, 6, 7, 8, 1500, len(values) // 3, len(values) - 2, len(values) - 1]
+    assert order_stats(df, "v", lambda n: ranks) == [ordered[r] for r in ranks]
