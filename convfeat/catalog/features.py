@@ -7,14 +7,16 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from convfeat.catalog import sql as S
-from convfeat.catalog.registry import ids_text, query, sql_ids, sql_vec, vec_text
+from convfeat.catalog.registry import SQL, ids_text, query, sql_ids, sql_vec, vec_text
 from convfeat.fixtures.samples import LAYOUT, event_facts, samples, table
 from convfeat.functions import arrays as A
 from convfeat.functions import dense as D
 from convfeat.functions.ids import hash_item, hash_seq, route_feature, routed_id
 from convfeat.layout import EVENT_DAY_FID, EVENT_HOUR_FID, parse_hash_allowlist
 from convfeat.operators.features import convert, dense_groups, flat_vector, group_concat
-from convfeat.operators.oob import oob_stats
+from convfeat.operators.oob import REPORT, observed_oob, oob_stats
+from convfeat.session import scratch_path
+from convfeat.sources.samples import write_features, write_oob_report
 from convfeat.plans.inputs import DENSE_GROUPS
 
 USER_CLIPPED = ", ".join(
@@ -105,6 +107,16 @@ def oob_report(spark, sf_dir):
     return oob_stats(samples(spark, sf_dir, ("user", "item", "seq")), LAYOUT)
 
 
+@query("oob_written", SQL["oob_report"])
+def oob_written(spark, sf_dir):
+    """The same report taken while converted features are written, then written and read as CSV (SNK2)."""
+    observed, report = observed_oob(samples(spark, sf_dir, ("user", "item", "dense", "seq")), LAYOUT)
+    write_features(convert(observed, LAYOUT), scratch_path(spark, "features"))
+    path = scratch_path(spark, "oob")
+    write_oob_report(report(), path)
+    return spark.read.schema(REPORT).option("header", True).csv(path)
+
+
 @query(
     "item_hash",
     f"""WITH {S.samples_sql()} SELECT sample_id, item_id,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from convfeat.functions import arrays as A
@@ -24,23 +26,52 @@ def _checked(layout: FeatureLayout) -> list[tuple[str, int, int, str]]:
     return [entry for entry in found if entry[2] > 0]
 
 
+def _aggregates(checked) -> list[str]:
+    beyond = [f"filter({ids}, x -> x >= {vocab})" for _, _, vocab, ids in checked]
+    return [
+        text
+        for i, b in enumerate(beyond)
+        for text in (f"sum(bigint(size({b}))) AS n{i}", f"min(array_min({b})) AS lo{i}", f"max(array_max({b})) AS hi{i}")
+    ]
+
+
+def _lines(checked) -> list[tuple[str, int, int, int]]:
+    return [(group, fid, vocab, i) for i, (group, fid, vocab, _) in enumerate(checked)]
+
+
+REPORT = "feature_group string, fid long, vocab long, oob_count long, oob_min long, oob_max long"
+
+
 def oob_stats(df: DataFrame, layout: FeatureLayout) -> DataFrame:
     """Count, smallest and largest id at or above the vocabulary, per feature that has any.
 
     One aggregation over all features; ids count after truncation, as they would be clipped.
     """
     checked = _checked(layout)
-    beyond = df.selectExpr(
-        *[f"filter({ids}, x -> x >= {vocab}) AS b{i}" for i, (_, _, vocab, ids) in enumerate(checked)]
-    )
-    sums = [
-        f"sum(bigint(size(b{i}))) AS n{i}, min(array_min(b{i})) AS lo{i}, max(array_max(b{i})) AS hi{i}".split(", ")
-        for i in range(len(checked))
-    ]
+    totals = df.agg(*[F.expr(text) for text in _aggregates(checked)])
     lines = [
-        f"struct('{group}' AS feature_group, {fid}L AS fid, {vocab}L AS vocab, "
-        f"n{i} AS oob_count, lo{i} AS oob_min, hi{i} AS oob_max)"
-        for i, (group, fid, vocab, _) in enumerate(checked)
+        f"struct('{group}' AS feature_group, {fid}L AS fid, {vocab}L AS vocab, n{i} AS oob_count, lo{i} AS oob_min, hi{i} AS oob_max)"
+        for group, fid, vocab, i in _lines(checked)
     ]
-    totals = beyond.agg(*[F.expr(text) for texts in sums for text in texts])
     return totals.selectExpr(f"inline(array({', '.join(lines)}))").filter("oob_count > 0")
+
+
+def observed_oob(df: DataFrame, layout: FeatureLayout) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``df`` carrying the report's aggregates as an observation, and the report once an action ran.
+
+    The counts ride on whatever pass first runs over the returned frame (the conversion's own
+    write), so the report costs no scan of its own. The report equals :func:`oob_stats`.
+    """
+    checked = _checked(layout)
+    observation = Observation("oob")
+    observed = df.observe(observation, *[F.expr(text) for text in _aggregates(checked)]) if checked else df
+
+    def report() -> DataFrame:
+        spark = df.sparkSession
+        if not checked:
+            return spark.createDataFrame([], REPORT)
+        got = observation.get
+        rows = [(g, fid, vocab, got[f"n{i}"], got[f"lo{i}"], got[f"hi{i}"]) for g, fid, vocab, i in _lines(checked)]
+        return spark.createDataFrame([r for r in rows if r[3]], REPORT)
+
+    return observed, report
