@@ -25,7 +25,8 @@ def library_counts(texts):
 
 @pytest.mark.parametrize("heavy_parts", [4096, 3])
 def test_token_counts_equal_library(spark, heavy_parts):
-    texts = awkward() + [(16, "a<|endoftext|>b <|startoftext|><|startoftext|>"), (17, "ÉCOLE  Straße\n\nit's 12,345 don't"), (1, "a repeated id")]
+    texts = awkward() + [(16, "a<|endoftext|>b <|startoftext|><|startoftext|>"), (17, "ÉCOLE  Straße\n\nit's 12,345 don't"), (1, "a repeated id"),
+             (18, "ΣΟΦΟΣ Σ İstanbul ǅ ﬃ \x1c x\u3000y\u0085z e\u0301"), (19, "İstanbul ǅ ﬃ \x1c x\u3000y\u0085z e\u0301 ΑΒΓ ς")]
     out = token_counts.token_counts(frame(spark, texts), WORD_BPE, limit=100, heavy_parts=heavy_parts).collect()
     got = sorted((r.row.doc_id or -1, r.row.text or "", r.n_bytes, r.n_tokens, r.over_limit) for r in out)
     want = sorted((i or -1, t or "", len((t or "").encode()), n, n > 100) for (i, t), n in zip(texts, library_counts([t for _, t in texts])))
