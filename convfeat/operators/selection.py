@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convfeat.operators.distribution import order_stats
+from convfeat.operators.distribution import cumulative_sum, order_stats
 
 SAMPLE_SEED = 2026
 
@@ -104,20 +103,22 @@ def block_boundary(
 ) -> tuple[str, int] | None:
     """(file, first row) where validation starts, counting blocks of rows in file order.
 
-    None when training holds every file up to the end. One collected row per input file.
+    None when training holds every file up to the end. Blocks are counted per file, summed in
+    file order by sorted ranges (``cumulative_sum``), and the file that holds the boundary is
+    found by one aggregation; a single row reaches the driver, however many files there are.
     """
-    sizes = (
-        df.groupBy("file_path").agg((F.max("row_index") + 1).alias("rows")).orderBy("file_path").collect()
-    )
-    blocks = [-(-row["rows"] // block_rows) for row in sizes]
-    total = sum(blocks)
+    sizes = df.groupBy("file_path").agg((F.max("row_index") + 1).alias("rows"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("rows") / F.lit(block_rows)).cast("long")).select("file_path", "blocks")
+    total = sizes.agg(F.sum("blocks")).first()[0] or 0
     train_blocks = total - max(1, int(total * valid_ratio))
     if train_ratio < 1.0:
         train_blocks = max(1, int(train_blocks * train_ratio))
-    for row, end, count in zip(sizes, accumulate(blocks), blocks):
-        if end > train_blocks:
-            return row["file_path"], (train_blocks - (end - count)) * block_rows
-    return None
+    running = cumulative_sum(sizes, "file_path", ["blocks"])
+    crossing = running.where(F.col("blocks_cum") > F.lit(train_blocks))
+    found = crossing.agg(F.min_by(F.struct("file_path", "blocks_cum", "blocks"), F.col("file_path")).alias("at")).first()["at"]
+    if found is None:
+        return None
+    return found["file_path"], (train_blocks - (found["blocks_cum"] - found["blocks"])) * block_rows
 
 
 def split_block_tail(

@@ -157,3 +157,25 @@ def test_order_stats_by_refinement_equal_sorting(spark, spread):
     ordered = sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
     ranks = [0, 6, 7, 8, 1500, len(values) // 3, len(values) - 2, len(values) - 1]
     assert order_stats(df, "v", lambda n: ranks) == [ordered[r] for r in ranks]
+
+
+@pytest.mark.parametrize("valid_ratio, train_ratio", [(0.1, 1.0), (0.3, 0.5), (0.95, 1.0)])
+def test_block_boundary_over_many_files(spark, valid_ratio, train_ratio):
+    """Thirty files of uneven sizes: the boundary equals the running count of blocks in file order."""
+    from convfeat.operators.selection import block_boundary
+
+    sizes = {f"f{k:02d}": 1 + (k * 37) % 55 for k in range(30)}
+    rows = [(name, i) for name, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "file_path string, row_index long").repartition(4)
+    blocks = {name: -(-n // 7) for name, n in sizes.items()}
+    total = sum(blocks.values())
+    train_blocks = total - max(1, int(total * valid_ratio))
+    if train_ratio < 1.0:
+        train_blocks = max(1, int(train_blocks * train_ratio))
+    want, end = None, 0
+    for name in sorted(blocks):
+        if end + blocks[name] > train_blocks:
+            want = (name, (train_blocks - end) * 7)
+            break
+        end += blocks[name]
+    assert block_boundary(df, valid_ratio, train_ratio, 7) == want
