@@ -49,19 +49,33 @@ def count_ge(df: DataFrame, threshold: int, column: str = "timestamp") -> int:
     return filter_recent(scan_timestamps(df, column), threshold, column).count()
 
 
+#: Columns that name a row's place; where a frame has them, they alone decide a sample.
+PLACE = ("file_path", "row_index")
+
+
 def sample_rows(df: DataFrame, n: int, order: Column) -> DataFrame:
     """``n`` rows without replacement: those with the smallest ``order`` (a hash of the row key).
 
-    Found as an order statistic of the hash, so no sorted prefix is gathered anywhere. Of rows that
-    tie at the last hash any may be taken, as many as are wanting.
+    Found as an order statistic of the hash, so no sorted prefix is gathered anywhere. Rows that
+    tie at the last hash are taken in the order of their place (or of all columns), as many as
+    are wanting, so the sample is the same in every execution.
     """
     hashed = df.withColumn("__order", order)
     [limit] = order_stats(hashed, "__order", lambda rows: [min(n, rows) - 1])
     below = hashed.filter(F.col("__order") < limit)
-    tied = hashed.filter(F.col("__order") == limit).limit(n - below.count())
+    wanting = n - below.count()
+    ties = [F.col(c) for c in PLACE] if all(c in df.columns for c in PLACE) else [F.col(f"`{c}`") for c in df.columns]
+    tied = hashed.filter(F.col("__order") == limit).orderBy(*ties).limit(wanting)
     return below.unionByName(tied).drop("__order")
 
 
+def place_order(df: DataFrame, seed: int = SAMPLE_SEED) -> Column:
+    """A seeded hash of each row's place when the frame has one, else of all its columns."""
+    if all(c in df.columns for c in PLACE):
+        return F.xxhash64(*[F.col(c) for c in PLACE], F.lit(seed))
+    return F.xxhash64(*df.columns, F.lit(seed))
+
+
 def keep_rank(keep: float, rows: int) -> int:
     """0-based rank of the oldest row among the latest ``keep`` share, in float arithmetic."""
     return math.floor((1.0 - keep) * (rows - 1))
@@ -79,7 +93,7 @@ def recent_thresholds(
         if not 0.0 < keep <= 1.0:
             raise ValueError(f"a kept share must be in (0, 1], got {keep}")
     if sample_size > 0:
-        order = sample_order if sample_order is not None else F.xxhash64(*df.columns, F.lit(SAMPLE_SEED))
+        order = sample_order if sample_order is not None else place_order(df)
         df = sample_rows(df, sample_size, order)
     return order_stats(
         scan_timestamps(df, column), column, lambda n: [keep_rank(keep, n) for keep in keeps]

@@ -179,3 +179,19 @@ def test_block_boundary_over_many_files(spark, valid_ratio, train_ratio):
             break
         end += blocks[name]
     assert block_boundary(df, valid_ratio, train_ratio, 7) == want
+
+
+def test_sample_by_place_reads_one_column_and_repeats(spark, tmp_path):
+    """Hashing places: the scan reads the time column only, n is exact and the sample repeats."""
+    from convfeat.operators.selection import place_order, sample_rows
+
+    wide = spark.range(300).select(F.col("id").alias("timestamp"), F.repeat(F.lit("x"), 50).alias("payload"), (F.col("id") * 2).alias("other"))
+    wide.repartition(3).write.parquet(str(tmp_path / "wide"))
+    df = read_samples(spark, str(tmp_path / "wide"))
+    picked = sample_rows(df, 77, place_order(df))
+    first = sorted(r.timestamp for r in picked.select("timestamp").collect())
+    assert len(first) == 77 and first == sorted(r.timestamp for r in picked.select("timestamp").collect())
+    plan = picked.select("timestamp")._jdf.queryExecution().executedPlan().toString()
+    read = [line.split("ReadSchema: struct<")[1].rstrip(">").split(",") for line in plan.splitlines() if "ReadSchema" in line]
+    data = {field.split(":")[0] for fields in read for field in fields if not field.startswith("_tmp_metadata")}
+    assert read and data == {"timestamp"}
