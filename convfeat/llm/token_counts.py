@@ -7,10 +7,11 @@ distinct pre-tokens are tokenised once each and only their number of pieces is k
 joined to the per-document frequencies and summed. No token id is ever made.
 
 The join is on the pre-token, which is as skewed as words are. Pre-tokens that occur in more than
-``1 / HEAVY_PARTS`` of all (document, pre-token) rows are few by construction (fewer than
-``HEAVY_PARTS``), so their counts are broadcast and joined where the documents lie, and those rows
-combine per document before the final shuffle; all others meet in a shuffle join in which no key
-holds more than that share of the rows.
+``1 / HEAVY_PARTS`` of all (document, pre-token) rows are found by Spark's frequent-items sketch
+(fewer than ``HEAVY_PARTS`` candidates by construction), encoded once and joined where the
+documents lie; those rows combine per document before the final shuffle. All other rows are
+shuffled by pre-token: that co-locates each pre-token's per-document frequencies with the one
+task that encodes it, and no key there holds more than that share of the rows.
 
 Cases: a null text counts as empty and has 0 tokens, as has an empty or blank text. Special strings
 inside a text (``<|startoftext|>``, ``<|endoftext|>`` for the word BPE) are one token each, as the
@@ -22,13 +23,14 @@ any length are split whole.
 from __future__ import annotations
 
 import json
-import math
 import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from convfeat.llm.common import as_row, map_texts, written
 #: A pre-token found in more than 1 / HEAVY_PARTS of all (document, pre-token) rows is broadcast with
 #: its count: fewer than HEAVY_PARTS keys, of at most HEAVY_PARTS times the mean pre-token length in
 #: all. Their rows join where they lie and combine per document before the shuffle.
-HEAVY_PARTS = 1 << 16
+HEAVY_PARTS = 10_000  # the smallest support Spark's frequent-items sketch takes is 1e-4
 
 
 @lru_cache(2)
@@ -141,37 +143,53 @@ def _frequencies(source: DataFrame, config) -> DataFrame:
     return map_texts(source.select("rid", "text", "doc_id", "n_bytes"), run, FREQUENCIES)
 
 
-def _piece_counts(frequencies: DataFrame, config) -> DataFrame:
-    """Every distinct pre-token once: the rows it occurs in and its number of pieces."""
+#: Longest pre-token that may be broadcast; longer frequent ones take the shuffle like the rest.
+HEAVY_CHARS = 256
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = pieces(batch.column("pre_token").to_pylist(), config.value)
-        return pa.RecordBatch.from_arrays([batch.column("pre_token"), batch.column("rows"), pa.array(counts, pa.int64())], names=["pre_token", "rows", "n_pieces"])
 
-    distinct = frequencies.where(F.col("pre_token").isNotNull()).groupBy("pre_token").agg(F.count(F.lit(1)).alias("rows"))
-    return distinct.mapInArrow(lambda batches: (run(b) for b in batches), "pre_token string, rows long, n_pieces long")
+def _met(config):
+    """Per task: rows of pre-tokens that the shuffle brought together, each distinct pre-token encoded once.
+
+    All rows of one pre-token land in one task, so a cache per task counts every distinct
+    pre-token once in the whole job.
+    """
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            tokens = batch.column("pre_token")
+            distinct = pc.unique(tokens).to_pylist()
+            new = [t for t in distinct if t not in known]
+            known.update(zip(new, pieces(new, config.value)))
+            where = pc.index_in(tokens, value_set=pa.array(distinct, pa.string())).to_numpy(zero_copy_only=False)
+            each = np.array([known[t] for t in distinct], np.int64)[where] if len(distinct) else np.zeros(0, np.int64)
+            tokens_out = batch.column("freq").to_numpy(zero_copy_only=False) * each
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(tokens_out, pa.int64())], names=["rid", "part"])
+
+    return run
 
 
 def _counted(source: DataFrame, tokenizer_path: str, heavy_parts: int = HEAVY_PARTS) -> tuple[DataFrame, DataFrame]:
-    """(documents: rid, doc_id, n_bytes; n_tokens by rid for rows with any token) of a ``source`` with rid and text."""
+    """(documents: rid, doc_id, n_bytes; n_tokens by rid for rows with any token) of a ``source`` with rid and text.
+
+    Frequent pre-tokens come from a bounded sketch (at most ``heavy_parts`` candidates, each of
+    at most ``HEAVY_CHARS`` characters), are encoded once on the driver and joined where the rows
+    lie. All other rows are shuffled by pre-token, which brings each pre-token's rows to the task
+    that encodes it once.
+    """
     spark = source.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         config = spark.sparkContext.broadcast(file.read())
     frequencies = written(_frequencies(source, config), "pre-tokens")
-    counted = written(_piece_counts(frequencies, config), "piece-counts")
-    known = frequencies.where(F.col("pre_token").isNotNull())
-    total = known.count()
-    bound = max(math.ceil(total / heavy_parts), 1)
-    heavy = counted.where(F.col("rows") > bound).select("pre_token", "n_pieces")
-    light = counted.where(F.col("rows") <= bound).select("pre_token", "n_pieces")
-    specials = frequencies.where(F.col("pre_token").isNull() & F.col("freq").isNotNull())
-    summed = (
-        known.select("rid", "pre_token", "freq").join(F.broadcast(heavy), "pre_token")
-        .unionByName(known.select("rid", "pre_token", "freq").join(F.broadcast(heavy.select("pre_token")), "pre_token", "left_anti").join(light, "pre_token"))
-        .unionByName(specials.select("rid", "pre_token", "freq", F.lit(1).cast("long").alias("n_pieces")))
-        .groupBy("rid")
-        .agg(F.sum(F.col("freq") * F.col("n_pieces")).alias("n_tokens"))
-    )
+    known = frequencies.where(F.col("pre_token").isNotNull()).select("rid", "pre_token", "freq")
+    found = known.stat.freqItems(["pre_token"], max(1.0 / heavy_parts, 1e-4)).first()
+    candidates = sorted(t for t in (found[0] if found else []) if t is not None and len(t) <= HEAVY_CHARS)
+    heavy = spark.createDataFrame(list(zip(candidates, pieces(candidates, config.value))), "pre_token string, n_pieces long")
+    near = known.join(F.broadcast(heavy), "pre_token").select("rid", (F.col("freq") * F.col("n_pieces")).alias("part"))
+    rest = known.join(F.broadcast(heavy.select("pre_token")), "pre_token", "left_anti").repartition("pre_token")
+    met = rest.mapInArrow(_met(config), "rid long, part long")
+    specials = frequencies.where(F.col("pre_token").isNull() & F.col("freq").isNotNull()).select("rid", F.col("freq").alias("part"))
+    summed = near.unionByName(met).unionByName(specials).groupBy("rid").agg(F.sum("part").alias("n_tokens"))
     documents = frequencies.where(F.col("n_bytes").isNotNull()).select("rid", "doc_id", "n_bytes")
     return documents, summed
 
