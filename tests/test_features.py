@@ -77,24 +77,6 @@ def test_out_of_vocabulary_report(spark, raw, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "oob")).count() == 3
 
 
-def test_report_observed_on_the_conversion_write(spark, raw, tmp_path):
-    """The report rides on the write: it equals the separate aggregation and takes no job of its own."""
-    from convfeat.operators.oob import observed_oob
-    from convfeat.sources.samples import write_features
-
-    observed, report = observed_oob(raw, LAYOUT)
-    write_features(convert(observed, LAYOUT), str(tmp_path / "features"))
-    tracker, group = spark.sparkContext.statusTracker(), "observed-report"
-    spark.sparkContext.setJobGroup(group, group)
-    try:
-        made = report()
-    finally:
-        spark.sparkContext.setJobGroup("other", "other")
-    assert not tracker.getJobIdsForGroup(group)
-    got = {tuple(r) for r in made.collect()}
-    assert got == {tuple(r) for r in oob_stats(raw, LAYOUT).collect()} and len(got) == 3
-
-
 def test_raise_mode(raw):
     with pytest.raises(Exception, match="not in"):
         convert(raw, LAYOUT, mode="raise").collect()
