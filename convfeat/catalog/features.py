@@ -12,7 +12,7 @@ from convfeat.fixtures.samples import LAYOUT, event_facts, samples, table
 from convfeat.functions import arrays as A
 from convfeat.functions import dense as D
 from convfeat.functions.ids import hash_item, hash_seq, route_feature, routed_id
-from convfeat.layout import EVENT_DAY_FID, EVENT_HOUR_FID, parse_hash_allowlist
+from convfeat.layout import EVENT_DAY_FID, EVENT_HOUR_FID
 from convfeat.operators.features import convert, dense_groups, flat_vector, group_concat
 from convfeat.operators.oob import oob_stats
 from convfeat.plans.inputs import DENSE_GROUPS
@@ -131,7 +131,7 @@ def seq_hash(spark, sf_dir):
     return ids.select("sample_id", ids_text(hashed).alias("hashed_69"))
 
 
-ALLOWED = "seq_b:69,seq_c:29"
+ALLOWED = {"seq_b": {69}, "seq_c": {29}}
 
 
 @query(
@@ -141,14 +141,13 @@ ALLOWED = "seq_b:69,seq_c:29"
 )
 def routed_ids(spark, sf_dir):
     """Lookup keys by route: own table, hash table, or none for large and for unsized features."""
-    allow = parse_hash_allowlist(ALLOWED)
     raw = {"seq_a_101": "k", "seq_b_69": "(event_id + 1)", "seq_c_34": "cents", "seq_d_104": "k"}
     columns = []
     for domain in LAYOUT.domains:
         for fid, vocab in domain.side_features:
             name = f"{domain.name}_{fid}"
             if name in raw:
-                route = route_feature(domain.name, fid, vocab, 1_000_000, 500, allow)
+                route = route_feature(domain.name, fid, vocab, 1_000_000, 500, ALLOWED)
                 columns.append(f"{routed_id(raw[name], route, 500)} AS {name}")
     return event_facts(spark, sf_dir).selectExpr("event_id", *columns)
 

@@ -39,12 +39,16 @@ def route_feature(
     skip_threshold: int,
     hash_buckets: int,
     allowlist: dict[str, set[int]],
+    hash_all: bool = False,
 ) -> str:
-    """Where the vectors of a feature come from: its own ``table``, a ``hash`` table, or ``zero``."""
+    """Where the vectors of a feature come from: its own ``table``, a ``hash`` table, or ``zero``.
+
+    An oversized feature is hashed when ``hash_all`` is set or ``allowlist`` names it by domain.
+    """
     oversized = skip_threshold > 0 and vocab > skip_threshold
     if vocab > 0 and not oversized:
         return "table"
-    allowed = "*" in allowlist or fid in allowlist.get(domain, ())
+    allowed = hash_all or fid in allowlist.get(domain, ())
     return "hash" if oversized and hash_buckets > 0 and allowed else "zero"
 
 

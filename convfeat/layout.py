@@ -110,21 +110,25 @@ class FeatureLayout:
     # ---- groups ----------------------------------------------------------
 
     def feature_groups(self, side: str) -> list[list[int]]:
-        """Groups of fids; derived features join the last one, so the number of groups is kept."""
+        """The declared groups of a side (one per fid if none are declared), in one pass.
+
+        Derived fids (sample clock, item hash) leave the group that names them and close the last
+        group, so the number of groups does not change; groups left empty drop out.
+        """
         known = [f.fid for f in self.side_features(side)]
-        derived = set(known) & {*SAMPLE_CLOCK_FIDS, ITEM_HASH_FID}
-        declared = self.groups.get(side)
-        if declared:
-            listed = [list(fids) for fids in declared.values()]
-        else:
-            listed = [[fid] for fid in known]
-        for fid in (fid for group in listed for fid in group):
-            if fid not in known:
-                raise KeyError(f"group of side {side!r} names fid {fid}, which the layout lacks")
-        kept = [[fid for fid in group if fid not in derived] for group in listed]
-        kept = [group for group in kept if group] or [[]]
-        kept[-1] = kept[-1] + [fid for fid in known if fid in derived]
-        return [group for group in kept if group]
+        derived = [fid for fid in known if fid in {*SAMPLE_CLOCK_FIDS, ITEM_HASH_FID}]
+        declared = self.groups.get(side) or {str(fid): [fid] for fid in known}
+        groups = []
+        for fids in declared.values():
+            strange = [fid for fid in fids if fid not in known]
+            if strange:
+                raise KeyError(f"group of side {side!r} names fid {strange[0]}, which the layout lacks")
+            own = [fid for fid in fids if fid not in derived]
+            if own:
+                groups.append(own)
+        if derived:
+            groups[-1:] = [(groups[-1] if groups else []) + derived]
+        return groups
 
     # ---- side files ------------------------------------------------------
 
@@ -183,22 +187,3 @@ class FeatureLayout:
             if not side.startswith("_")
         }
         return replace(self, groups=frozen)
-
-
-def parse_hash_allowlist(text: str | None) -> dict[str, set[int]]:
-    """``"seq_b:69,seq_c:29,34"`` -> domain -> fids; ``"all"`` -> ``{"*": set()}``."""
-    parts = [part.strip() for part in (text or "").split(",") if part.strip()]
-    if len(parts) == 1 and parts[0].lower() == "all":
-        return {"*": set()}
-    allowed: dict[str, set[int]] = {}
-    domain = None
-    for part in parts:
-        name, colon, number = part.rpartition(":")
-        if colon:
-            domain = name.strip()
-            allowed.setdefault(domain, set())
-        elif domain is None:
-            raise ValueError(f"fid {part!r} comes before any domain name")
-        if number.strip():
-            allowed[domain].add(int(number))
-    return allowed

@@ -7,7 +7,7 @@ from convfeat.functions import calendar as C
 from convfeat.functions import dense as D
 from convfeat.functions.ids import clean_id, clip_vocab, hash_item, hash_seq, route_feature, routed_id
 from convfeat.functions.scoring import sigmoid
-from convfeat.layout import FeatureLayout, IdFeature, parse_hash_allowlist
+from convfeat.layout import FeatureLayout, IdFeature
 
 
 def values(spark, schema, rows, *texts):
@@ -43,19 +43,15 @@ def test_hash_range(spark):
 
 
 def test_routes():
-    allow = parse_hash_allowlist("seq_b:69,seq_c:29,34,47")
-    assert allow == {"seq_b": {69}, "seq_c": {29, 34, 47}}
+    allow = {"seq_b": {69}, "seq_c": {29, 34, 47}}
     assert route_feature("seq_b", 69, 2_000_000, 1_000_000, 500, allow) == "hash"
     assert route_feature("seq_b", 70, 2_000_000, 1_000_000, 500, allow) == "zero"
     assert route_feature("seq_b", 69, 2_000_000, 1_000_000, 0, allow) == "zero"
     assert route_feature("seq_b", 69, 0, 1_000_000, 500, allow) == "zero"
     assert route_feature("seq_x", 1, 1_000_000, 1_000_000, 500, allow) == "table"
     assert route_feature("seq_x", 1, 2_000_000, 0, 500, allow) == "table"
-    assert route_feature("seq_x", 1, 2_000_000, 1_000_000, 500, parse_hash_allowlist("all")) == "hash"
+    assert route_feature("seq_x", 1, 2_000_000, 1_000_000, 500, {}, hash_all=True) == "hash"
     assert routed_id("k", "zero", 5) == "0L" and routed_id("k", "table", 5) == "k"
-    assert parse_hash_allowlist("") == {}
-    with pytest.raises(ValueError):
-        parse_hash_allowlist("29,seq_b:69")
 
 
 def test_bucket_edges(spark):
