@@ -43,8 +43,8 @@ ROW_BLOCK = 8192
 BUCKET = 256
 FOCUS = 3
 TOP = 5
-#: Slack on normalised coordinates, far above rounding and far below any real spread.
-SLACK = 1e-9
+#: Slack on normalised coordinates: above the square root of the rounding of 1 - local^2; candidates are verified exactly.
+SLACK = 1e-7
 EXACT_LIMIT = 1 << 26
 
 
@@ -55,7 +55,7 @@ class Index:
         norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
         order = np.lexsort((rids, -norms))
         self.x, self.ids, self.labels, self.rids, self.norms = x[order], ids[order], labels[order], rids[order], norms[order]
-        self.exact = x.size == 0 or int(np.abs(x).max()) <= EXACT_LIMIT
+        self.exact = x.size == 0 or (-EXACT_LIMIT <= int(x.min()) and int(x.max()) <= EXACT_LIMIT)
         self.buckets = []
         for start in range(0, len(order), bucket):
             end = min(start + bucket, len(order))
@@ -67,7 +67,7 @@ class Index:
             self.buckets.append((start, end, length, sorting, values))
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.exact:
+        if self.exact and (q.size == 0 or -EXACT_LIMIT <= int(q.min()) and int(q.max()) <= EXACT_LIMIT):
             return self.x[rows] @ q
         return np.array([sum(int(a) * int(b) for a, b in zip(self.x[r], q)) for r in rows], dtype=object)
 
@@ -83,8 +83,8 @@ class Index:
         qnorm, focus, qbar = query
         if threshold is None or threshold <= 0:
             return np.arange(start, end)
-        reach = qnorm * length
-        if reach * (1 + 1e-12) < threshold:
+        reach, threshold = qnorm * length, threshold * (1 - 1e-12)
+        if reach < threshold:
             return None
         local = min(threshold / reach, 1.0)
         found = None
@@ -147,8 +147,9 @@ def _grid(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int, size
     """Anchors repeated for every row block, rows for every anchor block."""
     blocks, anchor_blocks = max(math.ceil(n_rows / sizes[1]), 1), max(math.ceil(n_anchors / sizes[0]), 1)
     anchors = anchors.select(*[F.col(c).alias(c) for c in anchors.columns])  # own column ids: both sides come from ``rows``
-    left = anchors.withColumn("ablock", F.pmod(F.xxhash64("rid"), F.lit(anchor_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(blocks))).withColumn("ablock", F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1))))
+    # cogroup does not coerce its keys: an int and a long of one value hash to different partitions
+    left = anchors.withColumn("ablock", F.pmod(F.xxhash64("rid"), F.lit(anchor_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("ablock", F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1))))
     return left, right
 
 

@@ -92,6 +92,22 @@ def test_hard_negatives_equal_brute_force(spark, sizes):
     assert got
 
 
+@pytest.mark.parametrize("sizes", [(1024, 8192, 256), (7, 40, 5)])
+def test_hard_negatives_groups_meet_without_merged_partitions(spark, setting, sizes):
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    setting("spark.sql.shuffle.partitions", "7")
+    rows = awkward_rows(5)
+    got = hard_negatives.hard_negatives(embeddings(spark, rows), *sizes).collect()
+    assert sorted(tuple(r) for r in got) == brute_negatives(rows)
+
+
+def test_hard_negatives_anchor_longer_than_the_rows_of_its_block():
+    x = np.array([[1 << 26, 1 << 26]], np.int64)
+    index = hard_negatives.Index(x, np.array([1]), np.array([0]), np.array([0]))
+    q = np.array([1 << 40, 1 << 40], np.int64)
+    assert int(index.scores(np.array([0]), q)[0]) == 2 << 66
+
+
 def test_hard_negatives_wide_values_and_empty(spark):
     rows = [(100 * k, [random.Random(k).uniform(-1, 1) * 10**6 for _ in range(4)], k % 2) for k in range(40)]
     rows += [(100 * k + 1, [random.Random(k).uniform(-1, 1) * 10**6 for _ in range(4)], k % 3) for k in range(40)]
