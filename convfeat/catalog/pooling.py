@@ -16,8 +16,9 @@ from convfeat.operators.pooling import (
     embed_mean,
     item_query,
     match_features,
+    packed_tokens,
     sequence_mean,
-    sequence_tokens,
+    token_rows,
 )
 from convfeat.operators.selection import recent_thresholds
 from convfeat.session import stored
@@ -158,12 +159,13 @@ def seq_tokens(spark, sf_dir):
     """Table, gated hash and time-gap vectors side by side for every event of a domain."""
     table_ = vectors(spark, sf_dir)
     sources = {102: TokenSource("table", table_), 69: TokenSource("hash", table_, 400, GATE)}
-    rows = sequence_tokens(converted(spark, sf_dir, "seq"), "sample_id", "seq_b", sources, W, table_)
+    packed = packed_tokens(converted(spark, sf_dir, "seq"), "sample_id", "seq_b", sources, W, table_)
+    rows = token_rows(packed, "sample_id")
     return rows.filter("pos IS NOT NULL").select("sample_id", "pos", vec_text("token").alias("token"))
 
 
 def _view_tokens(df, spark, sf_dir, carry=()):
-    return sequence_tokens(
+    return packed_tokens(
         df, "sample_id", "seq_a", {101: TokenSource("table", vectors(spark, sf_dir))}, W, carry=carry
     )
 
@@ -220,7 +222,7 @@ def matched(spark, sf_dir):
     features = with_query(converted(spark, sf_dir, "user", "item", "seq"), spark, sf_dir)
     df = stored(features.select(*read), "features")
     tokens = {
-        d.name: sequence_tokens(
+        d.name: packed_tokens(
             df, "sample_id", d.name, {d.side_features[0][0]: TokenSource("table", table_)}, W, carry=["query"]
         )
         for d in LAYOUT.domains

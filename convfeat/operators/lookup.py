@@ -1,7 +1,8 @@
 """Joining ids to their vectors.
 
 A table is broadcast only when its estimated size is below Spark's own broadcast limit.
-Beyond that the join shuffles, with frequent ids and missing ids spread over salts so that
+Beyond that the rows whose id is looked up at all are tried, and stored; if they exceed the limit
+too, the join shuffles, with frequent ids and missing ids spread over salts so that
 no single id decides the size of a task.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from convfeat.functions.ids import hash_seq
 from convfeat.functions.scoring import sigmoid
+from convfeat.session import stored
 
 SALTS = 64
 HOT_SHARE = 0.002
@@ -32,6 +34,16 @@ def frequent_ids(df: DataFrame, key: str, share: float = HOT_SHARE) -> list[int]
     return sorted(found[0]) if found and found[0] else []
 
 
+def needed_table(table: DataFrame, key: str, needed: DataFrame) -> DataFrame | None:
+    """``table``, or its rows whose ``key`` occurs in ``needed``; None when those exceed the broadcast limit too."""
+    if fits_broadcast(table):
+        return table
+    if table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() < 0:
+        return None
+    reduced = stored(table.join(needed.select(key).distinct(), key, "left_semi"), "needed")
+    return reduced if fits_broadcast(reduced) else None
+
+
 def zeros(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
 
@@ -44,8 +56,9 @@ def keyed_join(
     ``spread`` names columns that tell the rows of ``df`` apart, for salting. ``keys_of`` is a
     cheaper table with about the same keys, to find the frequent ones in.
     """
-    if fits_broadcast(table):
-        return df.join(F.broadcast(table), key, "left")
+    small = needed_table(table, key, df) if keys_of is None else table if fits_broadcast(table) else None
+    if small is not None:
+        return df.join(F.broadcast(small), key, "left")
     hot = frequent_ids(df if keys_of is None else keys_of, key)
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     salted = df.withColumn(

@@ -11,8 +11,10 @@ from convfeat.operators.pooling import (
     embed_mean,
     item_query,
     match_features,
+    packed_tokens,
     sequence_mean,
     sequence_tokens,
+    token_rows,
 )
 
 RNG = np.random.default_rng(4)
@@ -171,3 +173,44 @@ def test_attention_plan_has_one_exchange_and_no_window(spark):
     tokens = spark.createDataFrame(rows, "key long, pos int, token array<double>, query array<double>")
     plan = attention_pool(tokens, "key", 3, "query")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_packed_tokens_equal_token_rows(spark, table, setting, threshold):
+    setting("spark.sql.autoBroadcastJoinThreshold", threshold)
+    twice = table.unionByName(table.where("id = 8"))  # an id with two rows
+    rows = converted(spark).union(converted(spark).where("key = 1")).union(converted(spark).withColumn("key", F.col("key") + 10))
+    sources = {1: TokenSource("table", twice), 2: TokenSource("hash", table, 7, 0.5)}
+    df = rows.withColumn("s_2", F.col("s_1"))
+    packed = packed_tokens(df, "key", "s", sources, 3, table, ["query"])
+    plain = sequence_tokens(df, "key", "s", sources, 3, table, ["query"])
+    got = {(r.key, r.pos): r.token for r in token_rows(packed, "key", ["query"]).collect()}
+    want = {(r.key, r.pos): r.token for r in plain.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is want[k] is None or close(got[k], want[k]) for k in want)
+    for weights in (None, [float(x) for x in range(12)]):
+        got = {r.key: r.vec for r in attention_pool(packed, "key", 3, "query", weights).collect()}
+        want = {r.key: r.vec for r in attention_pool(plain, "key", 3, "query", weights).collect()}
+        assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
+    got = {r.key: r.vec for r in sequence_mean(packed, "key", 3).collect()}
+    want = {r.key: r.vec for r in sequence_mean(plain, "key", 3).collect()}
+    assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
+
+
+def test_packed_pooling_shuffles_no_vectors(spark, table):
+    """The only exchange below the pooled rows is the one that groups id lists by sample."""
+    packed = packed_tokens(converted(spark).drop("query"), "key", "s", {1: TokenSource("table", table.limit(29))}, 3)
+    plan = packed.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_large_table_is_cut_to_the_ids_looked_up(spark, setting, tmp_path):
+    setting("spark.sql.autoBroadcastJoinThreshold", "20000")
+    wide = spark.range(1, 40000).select("id", F.array_repeat(F.col("id").cast("double"), 64).alias("vec"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    df = spark.createDataFrame([(1, 5), (2, 39999), (3, 50000)], "row long, item long")
+    assert not fits_broadcast(wide)
+    found = lookup_embedding(df, "item", wide, 64, ["row"])
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.row: r.vec[0] for r in found.collect()} == {1: 5.0, 2: 39999.0, 3: 0.0}
