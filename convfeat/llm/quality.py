@@ -8,8 +8,9 @@ tokens' vectors, beside the mean of its shapes' and the share of tokens that rep
 A network of two layers, trained with numpy, scores it; one temperature, fitted on rows kept aside,
 calibrates the probabilities.
 
-Learning takes a bounded sample: the ``ROWS`` labelled rows of smallest hash, ``PIECE`` characters of
-each. Scoring reads whole texts. Cases: a null text counts as empty and is scored by the network from a
+Learning takes a bounded sample: the ``ROWS`` labelled rows of smallest hash, with their whole texts. Texts
+stay in Spark's tasks: neighbour sums and document vectors are computed there, and the driver fits the
+network on one vector a row. Scoring reads whole texts. Cases: a null text counts as empty and is scored by the network from a
 zero vector; labels that are null or belong to no document teach nothing; of several labels for a
 document each is a row; with fewer than two classes to learn from every score is the share of ones
 (0.5 without any label). A null ``doc_id`` joins no label. Rows with equal ids are rows of their own,
@@ -18,6 +19,7 @@ extra columns pass through untouched, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convfeat.llm.common import as_row, map_texts, remainder, row_schema, text_blocks, text_bytes, text_of
+from convfeat.llm.common import as_row, map_texts, remainder, row_schema, text_blocks, text_bytes, text_of, written
 
 ROWS = 6000
-PIECE = 4000
 SLOTS = 1 << 14
 WIDTH = 48
 SIGNS = 6
@@ -105,17 +107,19 @@ def _pooled(slots, shapes, counts, vectors: np.ndarray) -> np.ndarray:
     return np.hstack([total / size, shape / size, repeats[:, None] / size, np.log1p(counts)[:, None] / 10])
 
 
-def _word_vectors(sample: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Index vectors plus those of neighbours within two tokens over the sample, scaled to length one."""
+def _add_neighbours(sums: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> None:
+    """Adds to each token's slot the index vectors of its neighbours within two tokens of the same text."""
+    index, owner = _index(), np.repeat(np.arange(len(counts)), counts)
+    for gap in (1, 2):
+        same = owner[gap:] == owner[:-gap]
+        left, right = slots[:-gap][same], slots[gap:][same]
+        np.add.at(sums, left, index[right])
+        np.add.at(sums, right, index[left])
+
+
+def _word_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Index vectors plus the neighbours' sums of the sample, scaled to length one."""
     index = _index()
-    vectors = np.zeros_like(index)
-    for slots, counts in sample:
-        owner = np.repeat(np.arange(len(counts)), counts)
-        for gap in (1, 2):
-            same = owner[gap:] == owner[:-gap]
-            left, right = slots[:-gap][same], slots[gap:][same]
-            np.add.at(vectors, left, index[right])
-            np.add.at(vectors, right, index[left])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     mixed = index / np.sqrt(SIGNS) + vectors / np.maximum(norm, 1e-6)
     return (mixed / np.maximum(np.linalg.norm(mixed, axis=1, keepdims=True), 1e-6)).astype(np.float32)
@@ -177,19 +181,62 @@ def _fit(features: np.ndarray, labels: np.ndarray, network: Network) -> None:
         network.temperature = float(min(losses, key=losses.get))
 
 
+def _neighbour_sums(sample: DataFrame) -> np.ndarray:
+    """Per slot the sum of its neighbours' index vectors over all whole texts; one partial table a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((SLOTS, WIDTH))
+        for batch in batches:
+            for block in text_blocks(batch):
+                slots, _, counts = tokens(*text_bytes(text_of(block)))
+                _add_neighbours(sums, slots, counts)
+        used = np.flatnonzero(sums.any(axis=1))
+        columns = [pa.array(used), *[pa.array(sums[used, k]) for k in range(WIDTH)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", *(f"v{k}" for k in range(WIDTH))])
+
+    columns = [f"v{k}" for k in range(WIDTH)]
+    parts = sample.select("text").mapInArrow(run, "slot long, " + ", ".join(f"{c} double" for c in columns))
+    found = parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # at most SLOTS rows, whole numbers
+    out = np.zeros((SLOTS, WIDTH))
+    out[found.column("slot").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    return out
+
+
+def _pooled_rows(sample: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """The key columns of ``sample`` and its document vectors, from whole texts."""
+    shared = sample.sparkSession.sparkContext.broadcast(vectors)
+    keys = [c for c in sample.columns if c != "text"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pooled = _pooled(*tokens(*text_bytes(text_of(batch))), shared.value)
+        rows = pa.array(list(pooled), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], rows], names=[*keys, "features"])
+
+    schema = T.StructType([*[sample.schema[c] for c in keys], T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return map_texts(sample, run, schema)
+
+
 def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Network:
-    """A network from a bounded sample of the labelled rows of ``documents``."""
+    """A network from the whole texts of a bounded sample of the labelled rows of ``documents``."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    picked = documents.select("doc_id", F.substring("text", 1, PIECE).alias("text")).join(F.broadcast(known), "doc_id")
-    found = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(2 * rows).toArrow().combine_chunks()
-    y = np.array(found.column("label").to_pylist(), float)
-    if len(set(y.tolist())) < 2:
-        return Network(float(y.mean()) if len(y) else 0.5)
-    blocks = [b for batch in found.to_batches() for b in text_blocks(batch)]
-    read = [tokens(*text_bytes(text_of(b))) for b in blocks]
-    network = Network(float(y.mean()), _word_vectors([(slots, counts) for slots, _, counts in read]))
-    _fit(np.vstack([_pooled(*r, network.vectors) for r in read]), y, network)
+    order = ["__hash", "doc_id", "label", "__text_hash"]
+    picked = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    picked = picked.withColumn("__hash", F.xxhash64("doc_id")).withColumn("__text_hash", F.xxhash64("text"))
+    # rows dealt by a number of their own: equal ids and texts spread too
+    sample = written(picked.withColumn("__row", F.monotonically_increasing_id()).repartition("__row"), "quality-sample")
+    last = sample.select(*order).orderBy(*order).limit(2 * rows).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*order)).alias("last")).first()
+    if last["n"] == 2 * rows:  # documents of equal ids beyond the bound
+        sample = sample.where(F.struct(*order) <= F.struct(*[F.lit(last["last"][c]).cast(sample.schema[c].dataType) for c in order]))
+    classes = sample.agg(F.avg("label").alias("share"), F.count_distinct("label").alias("n")).first()
+    if classes["n"] < 2:
+        return Network(0.5 if classes["share"] is None else float(classes["share"]))
+    vectors = _word_vectors(_neighbour_sums(sample))
+    found = _pooled_rows(sample, vectors).orderBy(*order, "__row").limit(2 * rows).select("label", "features").toArrow().combine_chunks()
+    y = found.column("label").to_numpy()
+    features = found.column("features").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    network = Network(float(y.mean()), vectors)
+    _fit(features, y, network)
     return network
 
 

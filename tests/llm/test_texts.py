@@ -246,3 +246,20 @@ def test_quality_cases(spark):
     labels = spark.createDataFrame([(i, i % 2 if i != 5 else None, 0) for i, _ in awkward()], "doc_id long, quality int, toxic int")
     assert quality.held_out_quality(frame(spark, awkward()), labels).count() == len(awkward())
     assert quality.held_out_quality(frame(spark, []), labels).count() == 0
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """The sign of quality stands behind the first 6,000 characters of every text."""
+    start = "the same opening of every text " * 200
+    texts = [(i, start + ("good fine clean " if i % 2 else "spam junk noise ") * 300) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    rows = quality.held_out_quality(frame(spark, texts), labels).collect()
+    held_out = [r for r in rows if r.held_out]
+    assert len(held_out) > 40 and all(r.predicted == r.doc_id % 2 for r in held_out)
+
+
+def test_quality_bound_on_repeated_ids(spark):
+    texts = [(i % 20, f"{'good' if i % 2 else 'spam'} {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    network = quality.learn(frame(spark, texts), labels, rows=20)
+    assert network.weights is not None
