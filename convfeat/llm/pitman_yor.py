@@ -1,15 +1,16 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Every restaurant seats its customers by the Chinese-restaurant rule; each of its tables is a customer of
-its parent. A restaurant of words serves whole tokens. Its parent spells words: restaurants for each
+its parent. Each word before (the end before the first) has a restaurant for the word that follows; their
+parent is one restaurant of words, which serves whole tokens. Its parent spells words: restaurants for each
 pair of preceding bytes share, as parents, those of the last byte, which share one root over a uniform
 choice. A word that training has not seen is the unknown token, as in the base score; its probability is
 what the spellings of all known words leave. Seatings are drawn anew sweep by sweep: all customers of a dish are reseated given the seats
 of all other dishes, in the state the last sweep left. The probability of a word is the average over
 the sweeps kept.
 
-Words are counted per block of documents and then added up over all of them, so a common word costs one
-row per block. The words stay distributed. Only counts of byte contexts reach the driver and are
+Pairs of a word and the word before are counted per block of documents and then added up over all of them,
+so a common pair costs one row per block. Pairs and words stay distributed. Only counts of byte contexts reach the driver and are
 broadcast: at most 257 ** 3 cells whatever the corpus, in practice the pairs of bytes that words use.
 
 Tokens are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased, and one end per text. Cases:
@@ -28,16 +29,17 @@ from math import fsum
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convfeat.llm.common import remainder, text_bytes, written
 
-BLOCK_OF_TEXT = 24 << 20
+BLOCK_OF_TEXT = 4 << 20
 SWEEPS, BURN_IN = 3, 1
-#: Strengths; the words' discount is estimated from how many words occur once and twice.
+#: Strengths; the discounts of pairs and words are estimated from how many have one customer and two.
 WORD_STRENGTH = 10.0
+PAIR_STRENGTH = 5.0
 BYTE_STRENGTH = 2.0
 BYTE_DISCOUNT = (0.3, 0.5, 0.7)
 END = 256
@@ -49,6 +51,12 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
+def pairs(text: str | None) -> list[tuple[bytes, bytes]]:
+    """Each token of a text with the token before it; the end stands before the first."""
+    found = tokens(text)
+    return list(zip([b"", *found[:-1]], found))
+
+
 # ---- seating -----------------------------------------------------------------------
 
 
@@ -148,7 +156,7 @@ def text_bytes_of_binary(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(documents: DataFrame, block: int) -> DataFrame:
-    """Documents with the number of their block, and the words of each block with their training counts."""
+    """Documents with the number of their block, and the pairs of each block with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, words = TaskContext.get().partitionId() << 32, 0, Counter()
@@ -157,10 +165,10 @@ def _split(documents: DataFrame, block: int) -> DataFrame:
             items = list(words.items())
             for k in range(0, len(items), 50_000):
                 part = items[k : k + 50_000]
-                yield batch_of(len(part), word=[w for w, _ in part], n=[n for _, n in part])
+                yield batch_of(len(part), before=[b for (b, _), _ in part], word=[w for (_, w), _ in part], n=[n for _, n in part])
 
         def batch_of(rows: int, **columns) -> pa.RecordBatch:
-            given = {"doc_id": None, "text": None, "held_out": None, "word": None, "n": None, **columns}
+            given = {"doc_id": None, "text": None, "held_out": None, "before": None, "word": None, "n": None, **columns}
             arrays = [
                 given[f.name] if isinstance(given[f.name], pa.Array) else pa.array(given[f.name] or [None] * rows, f.type)
                 for f in kinds
@@ -169,13 +177,13 @@ def _split(documents: DataFrame, block: int) -> DataFrame:
 
         kinds = [
             pa.field("doc_id", pa.int64()), pa.field("text", pa.string()), pa.field("held_out", pa.bool_()),
-            pa.field("word", pa.binary()), pa.field("n", pa.int64()),
+            pa.field("before", pa.binary()), pa.field("word", pa.binary()), pa.field("n", pa.int64()),
         ]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 for text, held_out in zip(part.column("text").to_pylist(), part.column("held_out").to_pylist()):
-                    found = tokens(text)
+                    found = pairs(text)
                     if held_out:
                         for word in found:
                             words.setdefault(word, 0)
@@ -188,7 +196,7 @@ def _split(documents: DataFrame, block: int) -> DataFrame:
                     number, size, words = number + 1, 0, Counter()
         yield from counted()
 
-    schema = "block long, doc_id long, text string, held_out boolean, word binary, n long"
+    schema = "block long, doc_id long, text string, held_out boolean, before binary, word binary, n long"
     return documents.mapInArrow(run, schema)
 
 
@@ -223,38 +231,65 @@ class Restaurant:
         return (count - self.discount * tables + new) / (WORD_STRENGTH + self.customers)
 
 
-def _sweep(words: DataFrame, spelling: Spelling, now: Restaurant, keep: bool, seed: int) -> DataFrame:
-    """Reseats the customers of every word; ``kept`` gathers the probabilities of the state left before."""
+def _discount(ones: int | None, twos: int | None) -> float:
+    return min(max(ones / (ones + 2 * (twos or 0)), 0.1), 0.9) if ones else 0.5
+
+
+def _words_sweep(words: DataFrame, spelling: Spelling, tables: int, discount: float, seed: int) -> DataFrame:
+    """Reseats the customers of every word."""
     shared = words.sparkSession.sparkContext.broadcast(spelling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count, tables, base, kept = (batch.column(n).to_numpy() for n in ("count", "tables", "base", "kept"))
-            if keep:
-                kept = kept + now.probability(count, tables, base)
+            count, own = (batch.column(n).to_numpy() for n in ("count", "tables"))
             cells, starts = spelled(batch.column("word"))
             base = np.exp(shared.value.log_probability(cells, starts))
             rng = np.random.default_rng([seed, int(cells.sum()), len(cells)])
-            tables = seated(count, now.tables - tables, base, WORD_STRENGTH, now.discount, rng)
+            seats = seated(count, np.maximum(tables - own, 0), base, WORD_STRENGTH, discount, rng)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("tokens"), batch.column("count"), pa.array(seats), pa.array(base)],
+                names=["word", "tokens", "count", "tables", "base"],
+            )
+
+    return words.mapInArrow(run, "word binary, tokens long, count long, tables long, base double")
+
+
+def _pairs_sweep(pairs: DataFrame, discount: float, keep: bool, seed: int) -> DataFrame:
+    """Reseats the customers of every pair; ``kept`` gathers the probabilities of the state left before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ("count", "tables", "kept", "parent", "customers", "opened")
+            count, tables, kept, parent, customers, opened = (batch.column(n).to_numpy() for n in names)
+            if keep:
+                kept = kept + (count - discount * tables + (PAIR_STRENGTH + discount * opened) * parent) / (PAIR_STRENGTH + customers)
+            rng = np.random.default_rng([seed, int(count.sum()), int(opened.sum()), len(count)])
+            tables = seated(count, opened - tables, parent, PAIR_STRENGTH, discount, rng)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("count"), pa.array(tables), pa.array(base), pa.array(kept)],
-                names=["word", "count", "tables", "base", "kept"],
+                [batch.column("before"), batch.column("word"), batch.column("count"), pa.array(tables), pa.array(kept)],
+                names=["before", "word", "count", "tables", "kept"],
             )
 
-    return words.mapInArrow(run, "word binary, count long, tables long, base double, kept double")
+    return pairs.mapInArrow(run, "before binary, word binary, count long, tables long, kept double")
+
+
+def _with_parents(pairs: DataFrame, words: DataFrame, parent: Column) -> DataFrame:
+    """Pairs with their word's probability and training count, and the totals of their restaurant."""
+    totals = pairs.groupBy("before").agg(F.sum("count").alias("customers"), F.sum("tables").alias("opened"))
+    return pairs.join(words.select("word", "tokens", parent.alias("parent")), "word").join(totals, "before")
 
 
 def _scored_block(totals: tuple[int, int]):
     training, distinct = totals
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        place = {word: i for i, word in enumerate(words.column("word").to_pylist())}
-        count = words.column("count").to_numpy()
+        place = {pair: i for i, pair in enumerate(zip(words.column("before").to_pylist(), words.column("word").to_pylist()))}
+        count = words.column("tokens").to_numpy()
         base = np.log10((count + 0.5) / (training + 0.5 * (distinct + 1)))
         model = words.column("log10_p").to_numpy()
         out = []
         for text in docs.column("text").to_pylist():
-            at = np.fromiter((place[w] for w in tokens(text)), np.int64)
+            at = np.fromiter((place[pair] for pair in pairs(text)), np.int64)
             out.append((len(at), int((count[at] > 0).sum()), fsum(base[at]), fsum(model[at])))
         n_tokens, n_known, base_score, score = zip(*out) if out else ([], [], [], [])
         return pa.table(
@@ -276,29 +311,35 @@ def scores(documents: DataFrame, held_out: str = "held_out", block: int = BLOCK_
     """Scores of every row (``doc_id``, ``text``), learned from rows whose flag ``held_out`` is false."""
     given = documents.select(F.col("doc_id").cast("long"), "text", F.col(held_out).alias("held_out"))
     parts = written(_split(given, block), "blocks")
-    asked = parts.where("word is not null").select("block", "word", "n")
-    counts = asked.groupBy("word").agg(F.sum("n").alias("count"))
-    start = [F.least("count", F.lit(1)).cast("long").alias("tables"), F.lit(0.0).alias("base"), F.lit(0.0).alias("kept")]
-    words = written(counts.select("word", "count", *start), "words")
-    ones = F.sum((F.col("count") == 1).cast("long"))
-    twos = F.sum((F.col("count") == 2).cast("long"))
-    n, v, n1, n2 = (x or 0 for x in words.agg(F.sum("count"), F.sum("tables"), ones, twos).first())
-    discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 else 0.5
-    now, spelling, unknown = Restaurant(n, v, discount), Spelling.uniform(), []
+    asked = parts.where("word is not null").select("block", "before", "word", "n")
+    counts = asked.groupBy("before", "word").agg(F.sum("n").alias("count"))
+    first = F.least("count", F.lit(1)).cast("long").alias("tables")
+    seats = written(counts.select("before", "word", "count", first, F.lit(0.0).alias("kept")), "pairs")
+    number = lambda column, n: F.sum((F.col(column) == n).cast("long"))
+    pair_discount = _discount(*seats.agg(number("count", 1), number("count", 2)).first())
+    start = seats.groupBy("word").agg(F.sum("count").alias("tokens"), F.sum("tables").alias("count"))
+    words = written(start.select("*", F.least("count", F.lit(1)).cast("long").alias("tables"), F.lit(0.0).alias("base")), "words")
+    known = F.col("tokens") > 0
+    sums = words.agg(F.sum("tokens"), F.sum(known.cast("long")), number("count", 1), number("count", 2)).first()
+    n, v, discount, spelling = sums[0] or 0, sums[1] or 0, _discount(*sums[2:]), Spelling.uniform()
     for k in range(sweeps):
-        keys, customers = _cell_counts(words)
-        spelling = Spelling.drawn(keys, customers, spelling, np.random.default_rng([7, k]))
-        words = written(_sweep(words, spelling, now, k > BURN_IN, k), "words")
-        known = F.sum(F.when(F.col("count") > 0, F.col("base")))
-        tables, spelled_mass = (x or 0 for x in words.agg(F.sum("tables"), known).first())
-        now = Restaurant(n, tables, discount)
-        unknown.append(now.probability(0, 0, max(1 - spelled_mass, 1e-12)))
-    new = F.lit(WORD_STRENGTH + discount * now.tables) * F.col("base")
-    last = (F.col("count") - F.lit(discount) * F.col("tables") + new) / F.lit(WORD_STRENGTH + n)
-    kept = unknown[BURN_IN:] if sweeps > BURN_IN else unknown[-1:]
-    mean = F.when(F.col("count") > 0, (F.col("kept") + last) / F.lit(float(len(kept)))).otherwise(F.lit(float(np.mean(kept))))
-    model = words.select("word", "count", F.log10(mean).alias("log10_p"))
-    answers = asked.select(F.col("block").alias("asked_by"), "word").join(model, "word")
+        if k:
+            seats = written(_pairs_sweep(_with_parents(seats, words, parent), pair_discount, k > BURN_IN, k), "pairs")
+            customers = seats.groupBy("word").agg(F.sum("tables").alias("count"))
+            words = words.drop("count").join(customers, "word").select("word", "tokens", "count", "tables", "base")
+        keys, spelt = _cell_counts(words)
+        spelling = Spelling.drawn(keys, spelt, spelling, np.random.default_rng([7, k]))
+        before = words.agg(F.sum("tables")).first()[0] or 0
+        words = written(_words_sweep(words, spelling, before, discount, k), "words")
+        total, tables, mass = (x or 0 for x in words.agg(F.sum("count"), F.sum("tables"), F.sum(F.when(known, F.col("base")))).first())
+        now = Restaurant(total, tables, discount)
+        unknown = float(now.probability(0, 0, max(1 - mass, 1e-12)))
+        parent = F.when(known, now.probability(F.col("count"), F.col("tables"), F.col("base"))).otherwise(F.lit(unknown))
+    kept = max(sweeps - BURN_IN, 1)
+    last = F.col("count") - F.lit(pair_discount) * F.col("tables") + (F.lit(PAIR_STRENGTH) + F.lit(pair_discount) * F.col("opened")) * F.col("parent")
+    mean = (F.col("kept") + last / (F.lit(PAIR_STRENGTH) + F.col("customers"))) / F.lit(float(kept))
+    model = _with_parents(seats, words, parent).select("before", "word", "tokens", F.log10(mean).alias("log10_p"))
+    answers = asked.select(F.col("block").alias("asked_by"), "before", "word").join(model, ["before", "word"])
     docs = parts.where("word is null").select("block", "doc_id", "text", "held_out")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(_scored_block((n, v)), schema)

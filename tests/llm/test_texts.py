@@ -263,3 +263,13 @@ def test_quality_bound_on_repeated_ids(spark):
     labels = spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     network = quality.learn(frame(spark, texts), labels, rows=20)
     assert network.weights is not None
+
+
+def test_language_model_reads_the_word_before(spark):
+    """Words of equal counts: a pair seen in training outscores one that is not."""
+    texts = [(i, "a b " * 5 if k % 2 else "c d " * 5) for k, i in enumerate(i for i in range(80) if remainder(i, 5) != 1)]
+    first, second = [i for i in range(80) if remainder(i, 5) == 1][:2]
+    texts += [(first, "a b"), (second, "a d")]
+    rows = {r.doc_id: r for r in pitman_yor.held_out_scores(frame(spark, texts)).collect()}
+    assert rows[first].held_out and rows[first].base_score == pytest.approx(rows[second].base_score, abs=0.1)
+    assert rows[first].score > rows[second].score + 0.5
