@@ -160,7 +160,7 @@ def seq_tokens(spark, sf_dir):
     table_ = vectors(spark, sf_dir)
     sources = {102: TokenSource("table", table_), 69: TokenSource("hash", table_, 400, GATE)}
     packed = packed_tokens(converted(spark, sf_dir, "seq"), "sample_id", "seq_b", sources, W, table_)
-    rows = token_rows(packed, "sample_id")
+    rows = token_rows(packed)
     return rows.filter("pos IS NOT NULL").select("sample_id", "pos", vec_text("token").alias("token"))
 
 

@@ -3,9 +3,9 @@
 Vectors have a declared width, so sums over them are written out per dimension: they stay
 primitive, run in generated code and combine before the shuffle.
 
-Packed tokens hold a sample's whole sequence in one row. Only lists of ids cross the exchange by
-sample; vectors of a table that fits a broadcast are looked up and pooled inside the row, in numpy
-over Arrow batches, so no vector is shuffled.
+Packed tokens are rows of whole sequences until the exchange by sample, which only lists of ids
+cross. Vectors of a table that fits a broadcast are looked up behind it, and the pooling by sample
+finds its rows in place, so no vector is shuffled.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +21,8 @@ from convfeat.functions.scoring import sigmoid
 from convfeat.operators.lookup import fits_broadcast, keyed_join, lookup, needed_table, zeros
 from convfeat.session import stored
 
-#: Keys of irregular vectors (repeated, of another length, with missing or non-finite entries) that samples are tested for.
-IRREGULAR = 1000
+#: Most ids with several rows in their table that samples are tested for.
+REPEATED = 1000
 
 
 def _sums(prefix: str, vector: str, width: int, weight: str = "") -> list[Column]:
@@ -129,63 +127,16 @@ def sequence_tokens(
 
 @dataclass(frozen=True)
 class PackedTokens:
-    """``sequence_tokens`` with a sample's tokens in one row.
+    """``sequence_tokens`` in two parts, both token rows.
 
-    ``rows`` has (key, carry, tokens) for keys of one sample, an empty list without events;
-    ``others`` has token rows as ``sequence_tokens`` gives them, for keys that several samples share
-    and for samples with irregular vectors.
+    ``rows`` are of keys of one sample and lie partitioned by key; ``others`` are of keys that several
+    samples share and of samples with an id that has several rows in its table.
     """
 
     rows: DataFrame
     others: DataFrame
 
 
-def _vectors_of(table: DataFrame, parts: int, width: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
-    """Per feature the sorted ids and their vectors (a zero row last), and the keys of irregular vectors."""
-    found = table.select("__fid", "__vec").where("__fid is not null").toArrow()
-    fids, vecs = found.column("__fid").to_pylist(), found.column("__vec").combine_chunks()
-    seen, odd, kept = {}, set(), [{} for _ in range(parts)]
-    for fid, vec in zip(fids, vecs):
-        vec = vec.as_py()
-        values = np.array([0.0] * width if vec is None else [np.nan if x is None else x for x in vec], float)
-        if fid in seen or len(values) != width or not np.isfinite(values).all():
-            odd.add(fid)
-            continue
-        seen[fid] = True
-        feature, number = fid.split(":")
-        kept[int(feature)][int(number)] = values
-    out = []
-    for rows in kept:
-        ids = np.array(sorted(rows), np.int64)
-        out.append((ids, np.vstack([*[rows[i] for i in ids.tolist()], np.zeros(width)])))
-    return out, sorted(odd)
-
-
-def _tokens_of(spark, features: list[tuple[np.ndarray, np.ndarray]], names: Sequence[str], width: int):
-    """An expression from a list of structs of ids to the list of their tokens."""
-    shared = spark.sparkContext.broadcast(features)
-
-    @F.arrow_udf("array<array<double>>")
-    def run(events: pa.Array) -> pa.Array:
-        offsets = events.offsets.to_numpy()
-        fields = events.values
-        if pa.types.is_null(fields.type):
-            return pa.array([[]] * len(events), pa.list_(pa.list_(pa.float64())))
-        fields = fields.slice(offsets[0], offsets[-1] - offsets[0])
-        out = np.zeros((len(fields), len(names), width))
-        for i, name in enumerate(names):
-            ids, vectors = shared.value[i]
-            asked = fields.field(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(ids):
-                at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
-                out[:, i] = vectors[np.where((ids[at] == asked) & (asked > 0), at, len(ids))]
-        size = len(names) * width
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(fields) + 1) * size, pa.int32()), pa.array(out.ravel()))
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), inner)
-
-    return run
-
-
 def _fids(feature: int, ids: Column) -> Column:
     return F.transform(F.filter(ids, lambda x: x > 0), lambda x: F.concat_ws(":", F.lit(feature), x))
 
@@ -199,14 +150,14 @@ def packed_tokens(
     bucket_table: DataFrame | None = None,
     carry: Sequence[str] = (),
 ) -> PackedTokens:
-    """``sequence_tokens`` in the packed form; all token rows are ``others`` when the tables fit no broadcast."""
+    """``sequence_tokens`` in two parts; all token rows are ``others`` when the tables fit no broadcast."""
     lists = [f"{domain}_{fid}" for fid in sources] + ([f"{domain}_time_bucket"] if bucket_table is not None else [])
     read = df.select(key, *carry, *lists, f"{domain}_len")
     unpacked = lambda given: sequence_tokens(given, key, domain, sources, part_width, bucket_table, carry)
     table = _feature_tables(sources, lists, bucket_table)
     hashed = {i: s.buckets for i, s in enumerate(sources.values()) if s.route == "hash"}
     looked = [i for i, s in enumerate(sources.values()) if s.route in ("table", "hash")] + ([len(lists) - 1] if bucket_table is not None else [])
-    sliced = [F.expr(f"slice(`{c}`, 1, {domain}_len)") for c in lists]
+    sliced = [F.slice(c, F.lit(1), F.col(f"{domain}_len")) for c in lists]
     ids = [F.expr(f"transform(slice(`{c}`, 1, {domain}_len), x -> {hash_seq('x', hashed[i])})") if i in hashed else sliced[i] for i, c in enumerate(lists)]
     ids = [x if i in looked else F.transform(x, lambda _: F.lit(0)) for i, x in enumerate(ids)]
     ids = [F.transform(x, lambda v: v.cast("long")) for x in ids]
@@ -215,72 +166,39 @@ def packed_tokens(
         if not fits_broadcast(table):
             read = stored(read, "sequences")
         table = needed_table(table, "__fid", read.select(F.explode(F.concat(*fids)).alias("__fid")))
-    features, odd = _vectors_of(table, len(lists), part_width) if table is not None else ([], [])
-    if table is None or len(odd) > IRREGULAR:
-        empty = read.limit(0).select(key, *carry, F.array().cast("array<array<double>>").alias("tokens"))
+    twice = [] if table is None else table.groupBy("__fid").count().where("count > 1").limit(REPEATED + 1).collect()
+    if table is None or len(twice) > REPEATED:
+        empty = read.limit(0).select(key, *carry, F.lit(0).alias("pos"), F.array().cast("array<double>").alias("token"))
         return PackedTokens(empty, unpacked(read))
-    sure = [F.coalesce(F.size(x) == F.col(f"{domain}_len"), F.lit(False)) for x in sliced]
-    sure += [F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)) for c in carry if dict(read.dtypes)[c].startswith("array<")]
-    if odd:
-        sure.append(~F.arrays_overlap(F.concat(*fids), F.array(*map(F.lit, odd))))
-    regular = F.lit(True)
-    for test in sure:
-        regular = regular & F.coalesce(test, F.lit(False))
-    names = [f"f{i}" for i in range(len(lists))]
     grouped = read.groupBy(key).agg(F.collect_list(F.struct(*carry, *lists, f"{domain}_len")).alias("__samples"))
-    one = grouped.select(key, F.size("__samples").alias("__n"), F.get("__samples", F.lit(0)).alias("__s"), "__samples")
-    one = one.select("*", *[F.col(f"__s.{c}").alias(c) for c in (*carry, *lists, f"{domain}_len")])
-    flagged = one.withColumn("__regular", (F.col("__n") == 1) & regular)
+    one = grouped.withColumn("__s", F.get("__samples", F.lit(0)))
+    one = one.select(key, "__samples", *[F.col(f"__s.{c}").alias(c) for c in (*carry, *lists, f"{domain}_len")])
+    regular = F.size("__samples") == 1
+    if twice:
+        regular = regular & ~F.coalesce(F.arrays_overlap(F.concat(*fids), F.array(*[F.lit(r["__fid"]) for r in twice])), F.lit(True))
+    flagged = one.withColumn("__regular", regular)
+    names = [f"f{i}" for i in range(len(lists))]
     rows = flagged.where("__regular").select(key, *carry, *[x.alias(n) for x, n in zip(ids, names)])
-    tokens = _tokens_of(df.sparkSession, features, names, part_width)(F.arrays_zip(*names))
-    rows = rows.select(key, *carry, tokens.alias("tokens"))
+    rows = rows.select(key, *carry, F.posexplode_outer(F.arrays_zip(*names)).alias("pos", "__event"))
+    for i in looked:
+        vectors = table.where(F.col("__fid").startswith(f"{i}:")).select(F.col("__fid").alias(f"__fid{i}"), F.col("__vec").alias(f"__vec{i}"))
+        fid = F.when(F.col(f"__event.f{i}") > 0, F.concat_ws(":", F.lit(i), F.col(f"__event.f{i}")))
+        rows = rows.withColumn(f"__fid{i}", fid).join(F.broadcast(vectors), f"__fid{i}", "left")
+    parts = [F.coalesce(f"__vec{i}", zeros(part_width)) if i in looked else zeros(part_width) for i in range(len(lists))]
+    rows = rows.select(key, *carry, "pos", F.when(F.col("pos").isNotNull(), F.concat(*parts)).alias("token"))
     rest = flagged.where("NOT __regular").select(key, F.explode("__samples").alias("__s"))
     return PackedTokens(rows, unpacked(rest.select(key, "__s.*")))
 
 
-def token_rows(tokens: PackedTokens, key: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Packed tokens one row each, as ``sequence_tokens`` gives them."""
-    rows = tokens.rows.select(key, *carry, F.posexplode_outer("tokens").alias("pos", "token"))
-    return rows.unionByName(tokens.others)
-
-
-def _pool_packed(width: int, weights: Sequence[float] | None):
-    """An expression from tokens and a query to the plain mean and the mean weighted by the softmax of the scores."""
-    parts = None if weights is None else np.array(weights, float).reshape(4, width)
-
-    def run(tokens: pa.Array, query: pa.Array | None) -> pa.Array:
-        offsets = tokens.offsets.to_numpy()
-        first, last, counts = int(offsets[0]), int(offsets[-1]), np.diff(offsets)
-        n, mean, pooled = len(counts), np.zeros((len(counts), width)), np.zeros((len(counts), width))
-        if last > first:
-            inner = tokens.values.offsets.to_numpy()
-            flat = tokens.values.values.to_numpy(zero_copy_only=False)[inner[first] : inner[last]]
-            token = flat.reshape(last - first, -1)[:, :width]
-            full = np.flatnonzero(counts)
-            begin = (offsets[:-1] - first)[full]
-            mean[full] = np.add.reduceat(token, begin, axis=0) / counts[full][:, None]
-            if query is not None:
-                own = query.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, :width][np.repeat(np.arange(n), counts)]
-                if parts is None:
-                    score = (own * token).sum(1)
-                else:
-                    score = own @ parts[0] + token @ parts[1] + (own - token) @ parts[2] + (own * token) @ parts[3]
-                weight = np.exp(score - np.repeat(np.maximum.reduceat(score, begin), counts[full]))
-                pooled[full] = np.add.reduceat(token * weight[:, None], begin, axis=0) / np.add.reduceat(weight, begin)[:, None]
-        places = pa.array(np.arange(n + 1) * width, pa.int32())
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(places, pa.array(x.ravel())) for x in (mean, pooled)], ["mean", "attention"])
-
-    schema = "struct<mean: array<double>, attention: array<double>>"
-    if weights is None:
-        return F.arrow_udf(lambda tokens: run(tokens, None), schema), F.arrow_udf(lambda tokens, query: run(tokens, query), schema)
-    return None, F.arrow_udf(lambda tokens, query: run(tokens, query), schema)
+def token_rows(tokens: PackedTokens) -> DataFrame:
+    """All token rows, as ``sequence_tokens`` gives them."""
+    return tokens.rows.unionByName(tokens.others)
 
 
 def sequence_mean(tokens: DataFrame | PackedTokens, key: str, width: int, out: str = "vec") -> DataFrame:
     """(key, mean over all valid positions, zero ids included)."""
     if isinstance(tokens, PackedTokens):
-        packed = tokens.rows.select(key, _pool_packed(width, None)[0]("tokens")["mean"].alias(out))
-        return packed.unionByName(sequence_mean(tokens.others, key, width, out))
+        return sequence_mean(tokens.rows, key, width, out).unionByName(sequence_mean(tokens.others, key, width, out))
     summed = tokens.groupBy(key).agg(F.count("token").alias("__n"), *_sums("s", "token", width))
     return summed.select(key, _divided("s", width, "greatest(__n, 1)").alias(out))
 
@@ -338,9 +256,8 @@ def pool_tokens(
     if weights is not None and len(weights) != 4 * width:
         raise ValueError(f"expected {4 * width} weights, got {len(weights)}")
     if isinstance(tokens, PackedTokens):
-        pooled = tokens.rows.select(key, _pool_packed(width, weights)[1]("tokens", query).alias("__pooled"))
-        pooled = pooled.select(key, F.col("__pooled.mean").alias(mean), F.col("__pooled.attention").alias(attention))
-        return pooled.unionByName(pool_tokens(tokens.others, key, width, query, weights, mean, attention))
+        both = [pool_tokens(rows, key, width, query, weights, mean, attention) for rows in (tokens.rows, tokens.others)]
+        return both[0].unionByName(both[1])
     scored = tokens.withColumn("__score", F.expr(match_score(query, "token", width, weights)))
     summed = scored.groupBy(key).agg(
         F.count("token").alias("__n"),

@@ -184,7 +184,7 @@ def test_packed_tokens_equal_token_rows(spark, table, setting, threshold):
     df = rows.withColumn("s_2", F.col("s_1"))
     packed = packed_tokens(df, "key", "s", sources, 3, table, ["query"])
     plain = sequence_tokens(df, "key", "s", sources, 3, table, ["query"])
-    got = {(r.key, r.pos): r.token for r in token_rows(packed, "key", ["query"]).collect()}
+    got = {(r.key, r.pos): r.token for r in token_rows(packed).collect()}
     want = {(r.key, r.pos): r.token for r in plain.collect()}
     assert got.keys() == want.keys()
     assert all(got[k] is want[k] is None or close(got[k], want[k]) for k in want)
@@ -199,9 +199,10 @@ def test_packed_tokens_equal_token_rows(spark, table, setting, threshold):
 
 def test_packed_pooling_shuffles_no_vectors(spark, table):
     """The only exchange below the pooled rows is the one that groups id lists by sample."""
-    packed = packed_tokens(converted(spark).drop("query"), "key", "s", {1: TokenSource("table", table.limit(29))}, 3)
-    plan = packed.rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    packed = packed_tokens(converted(spark), "key", "s", {1: TokenSource("table", table.limit(29))}, 3, carry=["query"])
+    for pooled in (sequence_mean(packed.rows, "key", 3), attention_pool(packed.rows, "key", 3, "query")):
+        plan = pooled._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_large_table_is_cut_to_the_ids_looked_up(spark, setting, tmp_path):
