@@ -55,7 +55,8 @@ def pad_raw(arr: str, n: int) -> str:
 
 def pad_floats(arr: str, n: int) -> str:
     """First ``n`` values, NaN included, filled with 0.0 on the right."""
-    return mapped(positions(n), lambda i: f"coalesce(double(get({arr}, {i})), 0D)")
+    given = mapped(f"slice({arr}, 1, {n})", lambda x: f"coalesce(double({x}), 0D)")
+    return f"concat(coalesce({given}, array()), array_repeat(0D, {n} - {valid_length(arr, n)}))"
 
 
 def clip_vocab_array(arr: str, vocab: int, mode: str = "clip") -> str:
@@ -101,6 +102,8 @@ def stack_segments(vector: str, lengths: list[int]) -> str:
 
 def finite(x: str, nan: float = 0.0, posinf: float = 0.0, neginf: float = 0.0) -> str:
     """Replace NaN and infinities; null counts as NaN."""
+    if nan == posinf == neginf:  # one comparison, which null, NaN and infinities all fail
+        return f"CASE WHEN abs(double({x})) < double('Infinity') THEN double({x}) ELSE double({nan}) END"
     return (
         f"CASE WHEN {x} IS NULL OR isnan({x}) THEN double({nan}) WHEN {x} = double('Infinity') THEN double({posinf}) "
         f"WHEN {x} = double('-Infinity') THEN double({neginf}) ELSE double({x}) END"

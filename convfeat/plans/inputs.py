@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convfeat.functions import arrays as A
 from convfeat.layout import FeatureLayout
-from convfeat.operators.features import as_list, dense_groups
+from convfeat.operators.features import dense_groups
 
 # The dense features by meaning.
 DENSE_GROUPS = {
@@ -23,13 +23,18 @@ def _words(prefix: str, ids: str) -> str:
     return A.mapped(f"filter({ids}, x -> x > 0)", lambda x: f"concat('{prefix}', string({x}))")
 
 
+def _word(prefix: str, value: str) -> str:
+    return f"CASE WHEN {value} > 0 THEN array(concat('{prefix}', string({value}))) ELSE array() END"
+
+
 def id_tokens(layout: FeatureLayout) -> str:
     """Every present id of both sides as a word ``<side><fid>=<id>``."""
     return A.joined(
         [
-            _words(f"{side}{feature.fid}=", as_list(layout, side, feature))
+            _words(f"{side}{feature.fid}=", column) if feature.dim > 1 else _word(f"{side}{feature.fid}=", column)
             for side in ("user", "item")
             for feature in layout.side_features(side)
+            for column in [layout.id_column(side, feature.fid)]
         ]
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from convfeat.operators.metrics import auc, logloss
 from convfeat.operators.selection import split_block_tail, split_overlap_tail
 from convfeat.plans.inputs import model_input
 from convfeat.plans.scoring import score
-from convfeat.session import cut
+from convfeat.session import cut, stored
 from convfeat.sources.runs import Run, save_run
 from convfeat.sources.samples import read_samples
 
@@ -31,6 +31,7 @@ def fit_conversion(
 ) -> PipelineModel:
     """Fit on the columns of ``model_input``.
 
+    The vectors are stored once; the passes of the classifier read them and convert no sample again.
     ``logistic`` is a linear model; ``factorisation`` adds pairwise id interactions. ``alpha``
     weights conversions against the other rows (logistic only).
     """
@@ -38,11 +39,11 @@ def fit_conversion(
         HashingTF(inputCol="tokens", outputCol="hashed_ids", numFeatures=hash_size, binary=True),
         VectorAssembler(inputCols=["hashed_ids", "dense"], outputCol="features"),
     ]
+    weights = []
     if kind == "logistic":
         model = LogisticRegression(maxIter=iterations, regParam=regularisation)
         if alpha is not None:
-            weight = F.when(F.col("label") == 1, F.lit(alpha)).otherwise(F.lit(1.0 - alpha))
-            samples = samples.withColumn("weight", weight)
+            weights = [F.when(F.col("label") == 1, F.lit(alpha)).otherwise(F.lit(1.0 - alpha)).alias("weight")]
             model = model.setWeightCol("weight")
     elif kind == "factorisation":
         if alpha is not None:
@@ -50,7 +51,8 @@ def fit_conversion(
         model = FMClassifier(maxIter=iterations, regParam=regularisation, factorSize=4, stepSize=0.05, seed=seed)
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    return Pipeline(stages=[*stages, model]).fit(samples)
+    vectors = stored(PipelineModel(stages).transform(samples).select("label", "features", *weights), "fit")
+    return PipelineModel([*stages, model.fit(vectors)])
 
 
 def evaluate(samples: DataFrame, model: PipelineModel) -> DataFrame:

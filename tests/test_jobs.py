@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from convfeat.catalog.jobs import MODEL_LAYOUT, STREAM_LAYOUT
@@ -38,6 +39,38 @@ def test_run_round_trip(spark, run_dir):
     assert run.config["kind"] == "logistic" and run.config["extra"] == 1
 
 
+@pytest.mark.parametrize("kind", ["logistic", "factorisation"])
+def test_fitting_converts_every_sample_once(spark, kind):
+    seen = spark.sparkContext.accumulator(0)
+
+    def words(i):
+        seen.add(1)
+        return [f"user1={i % 7}"]
+
+    rows = spark.range(0, 60, 1, 3).select(
+        (F.col("id") % 2).cast("int").alias("label"), F.udf(words, "array<string>")("id").alias("tokens"), array_to_vector(F.array(F.col("id") / 60)).alias("dense")
+    )
+    model = fit_conversion(rows, kind, hash_size=16, iterations=3)
+    assert seen.value == 60 and score(rows, model).count() == 60
+
+
+def test_stream_batches_are_dealt_anew(spark, run_dir, data, tmp_path, monkeypatch, setting):
+    """A batch of one file scores in several tasks, and gives the batch job's predictions."""
+    import convfeat.streaming.scoring as scoring
+
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_features(spark.read.parquet(data).coalesce(1), str(tmp_path / "one"))
+    parts, scored = [], scoring.score_samples
+    monkeypatch.setattr(scoring, "score_samples", lambda batch, run: (parts.append(batch.select(F.spark_partition_id()).distinct().count()), scored(batch, run))[1])
+    stream = sample_stream(spark, str(tmp_path / "one"), spark.read.parquet(data).schema, files_per_batch=2)
+    score_stream(stream, load_run(spark, run_dir), str(tmp_path / "sink"), str(tmp_path / "offsets"))
+    expected = predict_job(spark, run_dir, str(tmp_path / "one"), str(tmp_path / "predictions"))
+    key = lambda r: r.user_id
+    got = sorted(current_predictions(spark, str(tmp_path / "sink")).collect(), key=key)
+    assert [tuple(r) for r in got] == [(r.user_id, pytest.approx(r.prob)) for r in sorted(expected.collect(), key=key)]
+    assert max(parts) > 1
+
+
 def test_layout_falls_back_to_the_data_folder(spark, run_dir, tmp_path):
     import shutil
 
