@@ -57,11 +57,12 @@ def score_stream(samples: DataFrame, run: Run, sink: str, checkpoint: str) -> St
     """Score each micro-batch and upsert each user's last prediction into ``sink``.
 
     The sink holds versions of one row per user; :func:`current_predictions` reads the newest
-    committed one.
+    committed one. A batch may be a few files of one row group each, so its rows are dealt anew
+    before they are scored.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(score_samples(batch, run), sink, batch_id)
+        upsert_batch(score_samples(batch.repartition(*ORDER), run), sink, batch_id)
 
     query = (
         samples.writeStream.foreachBatch(write)
