@@ -6,12 +6,11 @@ its byte mapping is a bijection and is left to the counting of pieces. Every doc
 distinct pre-tokens are tokenised once each and only their number of pieces is kept; that count is
 joined to the per-document frequencies and summed. No token id is ever made.
 
-The join is on the pre-token, which is as skewed as words are. Pre-tokens that occur in more than
-``1 / HEAVY_PARTS`` of all (document, pre-token) rows are found by Spark's frequent-items sketch
-(fewer than ``HEAVY_PARTS`` candidates by construction), encoded once and joined where the
-documents lie; those rows combine per document before the final shuffle. All other rows are
+The join is on the pre-token, which is as skewed as words are. The ``HEAVY_PARTS`` pre-tokens that
+a bounded sample of the (document, pre-token) rows holds most often are encoded once and joined where
+the documents lie; those rows combine per document before the final shuffle. All other rows are
 shuffled by pre-token: that co-locates each pre-token's per-document frequencies with the one
-task that encodes it, and no key there holds more than that share of the rows.
+task that encodes it. The sample only chooses the way a row takes; every row is counted.
 
 Cases: a null text counts as empty and has 0 tokens, as has an empty or blank text. Special strings
 inside a text (``<|startoftext|>``, ``<|endoftext|>`` for the word BPE) are one token each, as the
@@ -36,10 +35,11 @@ from pyspark.sql import functions as F
 
 from convfeat.llm.common import as_row, map_texts, written
 
-#: A pre-token found in more than 1 / HEAVY_PARTS of all (document, pre-token) rows is broadcast with
-#: its count: fewer than HEAVY_PARTS keys, of at most HEAVY_PARTS times the mean pre-token length in
-#: all. Their rows join where they lie and combine per document before the shuffle.
-HEAVY_PARTS = 10_000  # the smallest support Spark's frequent-items sketch takes is 1e-4
+#: How many of the most frequent pre-tokens are broadcast with their counts. Their rows join where
+#: they lie and combine per document before the shuffle.
+HEAVY_PARTS = 1 << 16
+#: Rows that the choice of the frequent pre-tokens is drawn from, about.
+HEAVY_SAMPLE = 4_000_000
 
 
 @lru_cache(2)
@@ -169,22 +169,33 @@ def _met(config):
     return run
 
 
+def _heavy(frequencies: DataFrame, config, parts: int) -> DataFrame:
+    """The ``parts`` pre-tokens that a sample of the rows holds most often, with their numbers of pieces."""
+
+    def encoded(batches):
+        for batch in batches:
+            counts = pieces(batch.column("pre_token").to_pylist(), config.value)
+            yield pa.RecordBatch.from_arrays([batch.column("pre_token"), pa.array(counts, pa.int64())], names=["pre_token", "n_pieces"])
+
+    share = min(1.0, HEAVY_SAMPLE / max(1, frequencies.count()))
+    drawn = frequencies.select("pre_token").sample(share, seed=11).where(F.length("pre_token") <= HEAVY_CHARS)
+    most = drawn.groupBy("pre_token").count().where("count > 1").orderBy(F.desc("count"), "pre_token").limit(parts)
+    return written(most.select("pre_token").mapInArrow(encoded, "pre_token string, n_pieces long"), "frequent")
+
+
 def _counted(source: DataFrame, tokenizer_path: str, heavy_parts: int = HEAVY_PARTS) -> tuple[DataFrame, DataFrame]:
     """(documents: rid, doc_id, n_bytes; n_tokens by rid for rows with any token) of a ``source`` with rid and text.
 
-    Frequent pre-tokens come from a bounded sketch (at most ``heavy_parts`` candidates, each of
-    at most ``HEAVY_CHARS`` characters), are encoded once on the driver and joined where the rows
-    lie. All other rows are shuffled by pre-token, which brings each pre-token's rows to the task
-    that encodes it once.
+    Frequent pre-tokens (at most ``heavy_parts``, each of at most ``HEAVY_CHARS`` characters) are
+    encoded once and joined where the rows lie. All other rows are shuffled by pre-token, which
+    brings each pre-token's rows to the task that encodes it once.
     """
     spark = source.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         config = spark.sparkContext.broadcast(file.read())
     frequencies = written(_frequencies(source, config), "pre-tokens")
     known = frequencies.where(F.col("pre_token").isNotNull()).select("rid", "pre_token", "freq")
-    found = known.stat.freqItems(["pre_token"], max(1.0 / heavy_parts, 1e-4)).first()
-    candidates = sorted(t for t in (found[0] if found else []) if t is not None and len(t) <= HEAVY_CHARS)
-    heavy = spark.createDataFrame(list(zip(candidates, pieces(candidates, config.value))), "pre_token string, n_pieces long")
+    heavy = _heavy(frequencies, config, heavy_parts)
     near = known.join(F.broadcast(heavy), "pre_token").select("rid", (F.col("freq") * F.col("n_pieces")).alias("part"))
     rest = known.join(F.broadcast(heavy.select("pre_token")), "pre_token", "left_anti").repartition("pre_token")
     met = rest.mapInArrow(_met(config), "rid long, part long")

@@ -37,6 +37,18 @@ def test_token_counts_equal_library(spark, heavy_parts):
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in digests) == sorted((i, b, n, o) for i, _, b, n, o in want)
 
 
+def test_token_counts_join_many_frequent_pre_tokens_in_place(spark, monkeypatch):
+    """20,000 pre-tokens of equal share are all met where their rows lie; a sketch of 10,000 left the rest to a shuffle."""
+    tables = {}
+    keep = token_counts.written
+    monkeypatch.setattr(token_counts, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    words = ["".join("bcdfghjklm"[int(c)] + "a" for c in f"{i:05d}") for i in range(20_000)]
+    texts = [" ".join(words[i % 20 :: 20]) for i in range(60)]
+    out = token_counts.token_count_digests(frame(spark, list(enumerate(texts))), WORD_BPE).collect()
+    assert [r.n_tokens for r in sorted(out, key=lambda r: r.doc_id)] == library_counts(texts)
+    assert tables["frequent"].count() == 20_000
+
+
 def test_token_counts_empty_table(spark):
     empty = frame(spark, [(1, "x")]).limit(0)
     assert token_counts.token_count_digests(empty, WORD_BPE).count() == 0
