@@ -13,7 +13,7 @@ from convfeat.operators.selection import split_overlap_tail
 from convfeat.plans.inputs import model_input
 from convfeat.plans.scoring import predict_job, score
 from convfeat.plans.training import TrainConfig, fit_conversion, train_job
-from convfeat.session import scratch_path
+from convfeat.session import scratch_path, stored
 from convfeat.sources.runs import load_run
 from convfeat.sources.samples import read_samples, write_features
 from convfeat.streaming.features import feature_stream, run_to_parquet, sample_stream
@@ -39,11 +39,12 @@ def _raw(spark, sf_dir):
 
 @query("fit_score")
 def fit_score(spark, sf_dir):
-    """Fit on the latest 90 %, score every sample."""
+    """Fit on the latest 90 %, score every sample; each is converted once, for both."""
     raw = spark.read.parquet(_raw(spark, sf_dir))
-    train, _ = split_overlap_tail(raw, 0.90, 0.016)
-    model = fit_conversion(model_input(convert(train, MODEL_LAYOUT), MODEL_LAYOUT), alpha=0.4, **FIT)
-    every = model_input(convert(raw, MODEL_LAYOUT, keep=("sample_id",)), MODEL_LAYOUT)
+    converted = model_input(convert(raw, MODEL_LAYOUT, keep=("sample_id",)), MODEL_LAYOUT)
+    every = stored(converted.select("sample_id", "timestamp", "label", "tokens", "dense"), "converted")
+    train, _ = split_overlap_tail(every, 0.90, 0.016)
+    model = fit_conversion(train, alpha=0.4, **FIT)
     return score(every, model).select("sample_id", "label", "prob")
 
 

@@ -54,6 +54,15 @@ def test_fitting_converts_every_sample_once(spark, kind):
     assert seen.value == 60 and score(rows, model).count() == 60
 
 
+def test_fit_and_score_share_one_conversion(spark, monkeypatch):
+    import convfeat.catalog.jobs as jobs
+
+    calls, keep = [], jobs.convert
+    monkeypatch.setattr(jobs, "convert", lambda *given, **more: (calls.append(1), keep(*given, **more))[1])
+    out = jobs.fit_score(spark, SF)
+    assert len(calls) == 1 and "user_int_feats" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_batches_are_dealt_anew(spark, run_dir, data, tmp_path, monkeypatch, setting):
     """A batch of one file scores in several tasks, and gives the batch job's predictions."""
     import convfeat.streaming.scoring as scoring
