@@ -8,14 +8,18 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from convfeat.llm import bpe, decontaminate, langid, pii, pitman_yor, quality
 from convfeat.llm.catalog import QUERIES, SQL
+from convfeat.session import shared_dir
 from tests.llm.helpers import awkward, by_id, frame, prose
 
 SF = "/root/testdata/sf0.01"
@@ -273,3 +277,41 @@ def test_language_model_reads_the_word_before(spark):
     rows = {r.doc_id: r for r in pitman_yor.held_out_scores(frame(spark, texts)).collect()}
     assert rows[first].held_out and rows[first].base_score == pytest.approx(rows[second].base_score, abs=0.1)
     assert rows[first].score > rows[second].score + 0.5
+
+
+def shared_bytes(spark):
+    return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_language_model_keeps_a_few_bytes_a_token(spark):
+    """What stays in the shared folder of the pairs of all texts, and that no session setting is left behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), shared_bytes(spark)
+    scored = QUERIES["op7_lm_score"](spark, SF)
+    kept = shared_bytes(spark) - before
+    assert kept < 8 * sum(r.n_tokens for r in scored.collect()) and spark.conf.get(name) == setting
+
+
+def test_language_model_layout(spark, setting):
+    """Scores follow the texts alone: not their order, blocks, partitions or repeated and missing ids."""
+    texts = [*awkward(), *((i, prose(i, 60)) for i in range(100, 130)), (100, prose(100, 60)), (None, prose(7, 40))]
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    read = lambda rows: sorted((str(r.doc_id), *(f"{r[c]:.6f}" for c in columns[1:])) for r in rows.collect())
+    given = frame(spark, texts).withColumn("held_out", F.coalesce("doc_id", F.lit(1)) % 5 == 1)
+    first = read(pitman_yor.scores(given, part=2000))
+    setting("spark.sql.shuffle.partitions", "7")
+    assert read(pitman_yor.scores(given.repartition(5), block=1000, part=2000)) == first and len(first) == len(texts)
+    whole = read(pitman_yor.scores(given))
+    assert [r[:6] for r in whole] == [r[:6] for r in first]
+
+
+def test_language_model_without_training_rows(spark):
+    rows = pitman_yor.scores(frame(spark, awkward()).withColumn("held_out", F.lit(True))).collect()
+    assert len(rows) == len(awkward()) and all(r.train_tokens == r.n_known == 0 and r.score == pytest.approx(0, abs=1e-6) for r in rows)
+
+
+def test_language_model_packs_arrays():
+    for values in ([], [0], [1, 255], [3, 256, 70_000], [1 << 40, 7]):
+        assert pitman_yor.unpacked(pitman_yor.packed(np.array(values, np.int64))).tolist() == values
+    assert pitman_yor.unpacked(pitman_yor.packed(np.array([0.5, -1e-300]))).tolist() == [0.5, -1e-300]
+    assert pitman_yor.unpacked_words(pitman_yor.packed_words([b"", "é".encode(), b"a"])) == [b"", "é".encode(), b"a"]
