@@ -32,6 +32,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from convfeat.session import scratch_path
 
 #: Bytes of text in a block of documents, and to a part of the pairs.
 BLOCK_OF_TEXT = 24 << 20
-PART_OF_TEXT = 16 << 20
+PART_OF_TEXT = 12 << 20
 SWEEPS, BURN_IN = 3, 1
 #: Strengths; the discounts of pairs and words are estimated from how many have one customer and two.
 WORD_STRENGTH = 10.0
@@ -267,8 +268,8 @@ def _split(documents: DataFrame, block: int, parts: int) -> DataFrame:
         def dealt() -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(x) for x in found])
             dish = np.concatenate(found)
-            before = np.concatenate([[end], dish[:-1]])
-            doc = np.repeat(np.arange(len(found)), lengths)
+            before = np.concatenate([np.array([end], np.int32), dish[:-1]])
+            doc = np.repeat(np.arange(len(found), dtype=np.int32), lengths)
             held = np.repeat(np.array([bool(x) for x in flags]), lengths)
             names = np.array([*words, None], object)[:-1]
             hashes = _hashes(list(words))
@@ -296,12 +297,13 @@ def _split(documents: DataFrame, block: int, parts: int) -> DataFrame:
 
         end = words[b""]
         for batch in batches:
-            for doc_id, text, flag in zip(*(batch.column(n) for n in ("doc_id", "text", "held_out"))):
+            sizes = pc.binary_length(batch.column("text"))
+            for doc_id, text, flag, length in zip(*(batch.column(n) for n in ("doc_id", "text", "held_out")), sizes):
                 text = text.as_py()
                 found.append(words.of(tokens(text)).astype(np.int32))
                 doc_ids.append(doc_id.as_py())
                 flags.append(flag.as_py())
-                size += len(text or "")
+                size += length.as_py() or 0
                 if size >= block:
                     yield from dealt()
                     number, size, words, found, doc_ids, flags = number + 1, 0, Places(), [], [], []
