@@ -9,14 +9,16 @@ from convfeat.catalog.features import ITEM_CLIPPED, PACKED, converted
 from convfeat.catalog.registry import query, rounded, sql_rounded, sql_vec, vec_text
 from convfeat.fixtures.samples import LAYOUT, event_facts, samples, table
 from convfeat.layout import ITEM_HASH_FID, FeatureLayout
-from convfeat.operators.lookup import hashed_lookup, lookup_embedding
+from convfeat.operators.lookup import hashed_lookup, lookup_embedding, needed_table
 from convfeat.operators.pooling import (
+    LateVector,
     TokenSource,
     attention_pool,
     embed_mean,
     item_query,
     match_features,
     packed_tokens,
+    sample_parts,
     sequence_mean,
     token_rows,
 )
@@ -124,9 +126,9 @@ queries AS (
   LEFT JOIN embeddings b ON b.vec_id = item_int_feats_5 AND b.vec_id > 0)"""
 
 
-def with_query(df, spark, sf_dir):
+def with_query(df, spark, sf_dir, table_=None):
     """``query``: the mean of the vectors of the hashed item and of its size."""
-    table_ = vectors(spark, sf_dir)
+    table_ = vectors(spark, sf_dir) if table_ is None else table_
     found = lookup_embedding(df, ITEM_HASH, table_, W, ["sample_id"], "__hash_vec")
     found = lookup_embedding(found, "item_int_feats_5", table_, W, ["sample_id"], "__size_vec")
     return found.withColumn("query", item_query(["__hash_vec", "__size_vec"], W)).drop("__hash_vec", "__size_vec")
@@ -216,19 +218,35 @@ matched AS (
 
 
 def matched(spark, sf_dir):
-    table_ = vectors(spark, sf_dir)
-    read = ["sample_id", "timestamp", "label", "user_int_feats_60", "query"]
+    """Samples as stored, and their match vectors.
+
+    Stored and dealt by sample are ids alone; every vector, the query too, is looked up behind the
+    exchange. If the vectors that the samples need fit no broadcast, or an id has several, the query
+    is looked up first.
+    """
+    table_ = vectors(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
+    item = [ITEM_HASH, "item_int_feats_5"]
+    read = ["sample_id", "timestamp", "label", "user_int_feats_60", *item]
     read += ["seq_a_101", "seq_a_len", "seq_c_103", "seq_c_len"]
-    features = with_query(converted(spark, sf_dir, "user", "item", "seq"), spark, sf_dir)
-    df = stored(features.select(*read), "features")
+    df = stored(converted(spark, sf_dir, "user", "item", "seq").select(*read), "features")
+    ids = F.concat(F.array(*item), "user_int_feats_60", "seq_a_101", "seq_c_103")
+    small = needed_table(table_, "id", df.select(F.explode(ids).alias("id")))
+    if small is None or small.where("id > 0").groupBy("id").count().where("count > 1").limit(1).collect():
+        df, late, query_ = stored(with_query(df, spark, sf_dir), "queries"), None, "query"
+    else:
+        table_ = small
+        late = query_ = LateVector("query", item, lambda rows: with_query(rows, spark, sf_dir, small).drop(*item))
+    parts = sample_parts(df)
     tokens = {
         d.name: packed_tokens(
-            df, "sample_id", d.name, {d.side_features[0][0]: TokenSource("table", table_)}, W, carry=["query"]
+            df, "sample_id", d.name, {d.side_features[0][0]: TokenSource("table", table_)}, W,
+            carry=() if late else ["query"], parts=parts, late=late,
         )
         for d in LAYOUT.domains
         if d.name in ("seq_a", "seq_c")
     }
-    return df, match_features(df, "sample_id", "query", "user_int_feats_60", table_, W, tokens, W)
+    dealt = df.repartition(parts, "sample_id")
+    return df, match_features(dealt, "sample_id", query_, "user_int_feats_60", table_, W, tokens, W)
 
 
 @query(

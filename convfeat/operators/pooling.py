@@ -4,16 +4,17 @@ Vectors have a declared width, so sums over them are written out per dimension:
 primitive, run in generated code and combine before the shuffle.
 
 Packed tokens are rows of whole sequences until the exchange by sample, which only lists of ids
-cross. Vectors of a table that fits a broadcast are looked up behind it, and the pooling by sample
-finds its rows in place, so no vector is shuffled.
+cross. Behind it the rows of single ids are sorted by sample once; vectors of a table that fits a
+broadcast are looked up in that order, and the pooling by sample finds its rows in place, so no
+vector is shuffled and no sort holds one per token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convfeat.functions.ids import hash_seq
@@ -23,6 +24,8 @@ from convfeat.session import stored
 
 #: Most ids with several rows in their table that samples are tested for.
 REPEATED = 1000
+#: Samples of one task behind the exchange by sample; each holds up to four vectors a domain there.
+SAMPLES = 32768
 
 
 def _sums(prefix: str, vector: str, width: int, weight: str = "") -> list[Column]:
@@ -35,6 +38,16 @@ def _divided(prefix: str, width: int, by: str) -> Column:
     return F.expr(f"array({', '.join(f'coalesce({prefix}{i}, 0D) / {by}' for i in range(width))})")
 
 
+def sample_parts(df: DataFrame) -> int:
+    """Partitions for an exchange by sample: the session's number, or more for ``SAMPLES`` rows each.
+
+    The exchange moves ids and its readers make vectors of them, so its bytes do not tell the
+    memory of a task. Counts the rows of ``df``, which should be stored.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, -(-df.count() // SAMPLES))
+
+
 def embed_mean(
     df: DataFrame, key: str, ids_col: str, table: DataFrame, width: int, out: str = "vec"
 ) -> DataFrame:
@@ -85,11 +98,13 @@ def sequence_tokens(
     part_width: int,
     bucket_table: DataFrame | None = None,
     carry: Sequence[str] = (),
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """(key, carry, pos, token): the side vectors of each valid position side by side.
 
     ``df`` is converted. A time-gap vector comes last when ``bucket_table`` is given. A sample
-    without events keeps one row with null ``pos`` and ``token``.
+    without events keeps one row with null ``pos`` and ``token``. ``table`` may give the rows of
+    ``_feature_tables`` that the samples need.
 
     All side features share one lookup: every (position, feature) becomes a row with the key
     "feature:id" of its table row, one sketch finds the frequent keys of all features, one
@@ -112,7 +127,7 @@ def sequence_tokens(
     first = [F.when(F.col("__part.f") == 0, F.col(c)).alias(c) for c in carry]
     parts = rows.select(key, "pos", *[F.col(c).alias(c) for c in carry], F.explode(F.array(*keys)).alias("__part"))
     parts = parts.select(key, "pos", *first, F.col("__part.f").alias("__f"), F.col("__part.__fid").alias("__fid"))
-    table = _feature_tables(sources, lists, bucket_table)
+    table = _feature_tables(sources, lists, bucket_table) if table is None else table
     if table is None:
         found = parts.withColumn("__vec", F.lit(None).cast("array<double>"))
     else:
@@ -129,12 +144,26 @@ def sequence_tokens(
 class PackedTokens:
     """``sequence_tokens`` in two parts, both token rows.
 
-    ``rows`` are of keys of one sample and lie partitioned by key; ``others`` are of keys that several
-    samples share and of samples with an id that has several rows in its table.
+    ``rows`` are of keys of one sample and lie partitioned and sorted by key; ``others`` are of keys
+    that several samples share and of samples with an id that has several rows in its table.
+    ``parts`` is the number of partitions of ``rows`` if it was given.
     """
 
     rows: DataFrame
     others: DataFrame
+    parts: int | None = None
+
+
+@dataclass(frozen=True)
+class LateVector:
+    """The vector column ``name`` of a sample, looked up behind the exchange by sample.
+
+    Only ``columns`` cross it; ``add`` replaces them by the vector, one row by one, and leaves the rows in place.
+    """
+
+    name: str
+    columns: Sequence[str]
+    add: Callable[[DataFrame], DataFrame]
 
 
 def _fids(feature: int, ids: Column) -> Column:
@@ -149,11 +178,18 @@ def packed_tokens(
     part_width: int,
     bucket_table: DataFrame | None = None,
     carry: Sequence[str] = (),
+    parts: int | None = None,
+    late: LateVector | None = None,
 ) -> PackedTokens:
-    """``sequence_tokens`` in two parts; all token rows are ``others`` when the tables fit no broadcast."""
+    """``sequence_tokens`` in two parts; all token rows are ``others`` when the tables fit no broadcast.
+
+    ``parts`` is the number of partitions of the exchange by ``key``; without it Spark chooses.
+    The rows carry ``late`` too, if given.
+    """
+    add, full = (late.add, [*carry, late.name]) if late else (lambda given: given, carry)
+    carry = [*carry, *late.columns] if late else carry
     lists = [f"{domain}_{fid}" for fid in sources] + ([f"{domain}_time_bucket"] if bucket_table is not None else [])
     read = df.select(key, *carry, *lists, f"{domain}_len")
-    unpacked = lambda given: sequence_tokens(given, key, domain, sources, part_width, bucket_table, carry)
     table = _feature_tables(sources, lists, bucket_table)
     hashed = {i: s.buckets for i, s in enumerate(sources.values()) if s.route == "hash"}
     looked = [i for i, s in enumerate(sources.values()) if s.route in ("table", "hash")] + ([len(lists) - 1] if bucket_table is not None else [])
@@ -162,32 +198,40 @@ def packed_tokens(
     ids = [x if i in looked else F.transform(x, lambda _: F.lit(0)) for i, x in enumerate(ids)]
     ids = [F.transform(x, lambda v: v.cast("long")) for x in ids]
     fids = [_fids(i, ids[i]) for i in looked]
+    unpacked = lambda given: sequence_tokens(add(given), key, domain, sources, part_width, bucket_table, full, table)
     if table is not None:
         if not fits_broadcast(table):
             read = stored(read, "sequences")
         table = needed_table(table, "__fid", read.select(F.explode(F.concat(*fids)).alias("__fid")))
     twice = [] if table is None else table.groupBy("__fid").count().where("count > 1").limit(REPEATED + 1).collect()
     if table is None or len(twice) > REPEATED:
-        empty = read.limit(0).select(key, *carry, F.lit(0).alias("pos"), F.array().cast("array<double>").alias("token"))
-        return PackedTokens(empty, unpacked(read))
-    grouped = read.groupBy(key).agg(F.collect_list(F.struct(*carry, *lists, f"{domain}_len")).alias("__samples"))
-    one = grouped.withColumn("__s", F.get("__samples", F.lit(0)))
-    one = one.select(key, "__samples", *[F.col(f"__s.{c}").alias(c) for c in (*carry, *lists, f"{domain}_len")])
-    regular = F.size("__samples") == 1
-    if twice:
-        regular = regular & ~F.coalesce(F.arrays_overlap(F.concat(*fids), F.array(*[F.lit(r["__fid"]) for r in twice])), F.lit(True))
-    flagged = one.withColumn("__regular", regular)
+        empty = add(read.limit(0)).select(key, *full, F.lit(0).alias("pos"), F.array().cast("array<double>").alias("token"))
+        return PackedTokens(empty, unpacked(read), parts)
+    repeated = [r["__fid"] for r in twice]
+    dealt = read.repartition(parts, key) if parts else read.repartition(key)
+    by_key = Window.partitionBy(key)
     names = [f"f{i}" for i in range(len(lists))]
-    rows = flagged.where("__regular").select(key, *carry, *[x.alias(n) for x, n in zip(ids, names)])
+    rows = dealt.select(key, *carry, *[x.alias(n) for x, n in zip(ids, names)])
     rows = rows.select(key, *carry, F.posexplode_outer(F.arrays_zip(*names)).alias("pos", "__event"))
+    rows = rows.select(key, *carry, "pos", *[F.col(f"__event.{n}").alias(n) for n in names])
+    rows = rows.withColumn("__samples", F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).over(by_key))
+    if repeated:
+        of = {i: [int(f.split(":")[1]) for f in repeated if f.startswith(f"{i}:")] for i in looked}
+        odd = F.greatest(F.lit(0), *[F.col(f"f{i}").isin(of[i]).cast("int") for i in looked if of[i]])
+        rows = rows.withColumn("__odd", F.max(odd).over(by_key)).where("__odd = 0")
+    rows = rows.where("__samples = 1").drop("__samples", "__odd")
     for i in looked:
-        vectors = table.where(F.col("__fid").startswith(f"{i}:")).select(F.col("__fid").alias(f"__fid{i}"), F.col("__vec").alias(f"__vec{i}"))
-        fid = F.when(F.col(f"__event.f{i}") > 0, F.concat_ws(":", F.lit(i), F.col(f"__event.f{i}")))
-        rows = rows.withColumn(f"__fid{i}", fid).join(F.broadcast(vectors), f"__fid{i}", "left")
-    parts = [F.coalesce(f"__vec{i}", zeros(part_width)) if i in looked else zeros(part_width) for i in range(len(lists))]
-    rows = rows.select(key, *carry, "pos", F.when(F.col("pos").isNotNull(), F.concat(*parts)).alias("token"))
-    rest = flagged.where("NOT __regular").select(key, F.explode("__samples").alias("__s"))
-    return PackedTokens(rows, unpacked(rest.select(key, "__s.*")))
+        id_ = F.substring_index("__fid", ":", -1).cast("long")
+        vectors = table.where(F.col("__fid").startswith(f"{i}:")).select(id_.alias(f"__id{i}"), F.col("__vec").alias(f"__vec{i}"))
+        rows = rows.withColumn(f"__id{i}", F.when(F.col(f"f{i}") > 0, F.col(f"f{i}"))).join(F.broadcast(vectors), f"__id{i}", "left")
+    vecs = [F.coalesce(f"__vec{i}", zeros(part_width)) if i in looked else zeros(part_width) for i in range(len(lists))]
+    rows = rows.select(key, *carry, "pos", F.when(F.col("pos").isNotNull(), F.concat(*vecs)).alias("token"))
+    rows = add(rows).select(key, *full, "pos", "token")
+    rest = F.col("__samples") > 1
+    if repeated:
+        rest = rest | F.coalesce(F.arrays_overlap(F.concat(*fids), F.array(*[F.lit(f) for f in repeated])), F.lit(False))
+    rest = dealt.withColumn("__samples", F.count(F.lit(1)).over(by_key)).where(rest)
+    return PackedTokens(rows, unpacked(rest.drop("__samples")), parts)
 
 
 def token_rows(tokens: PackedTokens) -> DataFrame:
@@ -237,6 +281,36 @@ def _softmax_state(pairs: str, width: int) -> Column:
     return F.expr(f"aggregate(filter({pairs}, p -> p.token IS NOT NULL), {start}, (acc, p) -> {step})")
 
 
+def _pooled_in_place(
+    rows: DataFrame,
+    key: str,
+    width: int,
+    query: str,
+    weights: Sequence[float] | None,
+    mean: str,
+    attention: str,
+) -> DataFrame:
+    """``pool_tokens`` of rows that lie partitioned and sorted by ``key``.
+
+    The largest score of a sample comes from a window in that order, which holds the tokens of one
+    sample at a time; both means are plain sums then.
+    """
+    scored = rows.select(key, "token", F.expr(match_score(query, "token", width, weights)).alias("__score"))
+    peaked = scored.withColumn("__peak", F.max("__score").over(Window.partitionBy(key)))
+    weighed = peaked.withColumn("__w", F.exp(F.col("__score") - F.col("__peak")))
+    summed = weighed.groupBy(key).agg(
+        F.count("token").alias("__n"),
+        F.count("__score").alias("__scored"),
+        F.sum("__w").alias("__z"),
+        *_sums("s", "token", width),
+        *_sums("a", "token", width, "__w"),
+    )
+    # A token without a score, as of a vector with a null or too few values, leaves zeros, as in the fold.
+    share = F.when(F.col("__scored") == F.col("__n"), _divided("a", width, "CASE WHEN __z > 0 THEN __z ELSE 1D END"))
+    share = share.otherwise(zeros(width))
+    return summed.select(key, _divided("s", width, "greatest(__n, 1)").alias(mean), share.alias(attention))
+
+
 def pool_tokens(
     tokens: DataFrame | PackedTokens,
     key: str,
@@ -251,13 +325,14 @@ def pool_tokens(
     No window: the sums of the plain mean combine before the exchange, and the softmax is the
     fold of a mergeable state (running maximum, scaled sum, scaled weighted sums) over the scored
     tokens of a sample, which hold at most ``max_len`` tokens. Samples without tokens get zero
-    vectors.
+    vectors. Packed rows are pooled where they lie.
     """
     if weights is not None and len(weights) != 4 * width:
         raise ValueError(f"expected {4 * width} weights, got {len(weights)}")
     if isinstance(tokens, PackedTokens):
-        both = [pool_tokens(rows, key, width, query, weights, mean, attention) for rows in (tokens.rows, tokens.others)]
-        return both[0].unionByName(both[1])
+        others = pool_tokens(tokens.others, key, width, query, weights, mean, attention)
+        others = others.repartition(tokens.parts, key) if tokens.parts else others
+        return _pooled_in_place(tokens.rows, key, width, query, weights, mean, attention).unionByName(others)
     scored = tokens.withColumn("__score", F.expr(match_score(query, "token", width, weights)))
     summed = scored.groupBy(key).agg(
         F.count("token").alias("__n"),
@@ -290,7 +365,7 @@ def item_query(vectors: Sequence[str], width: int) -> Column:
 def match_features(
     df: DataFrame,
     key: str,
-    item_vec: str,
+    item_vec: str | LateVector,
     user_ids: str,
     user_table: DataFrame,
     user_width: int,
@@ -301,20 +376,21 @@ def match_features(
     """(key, ``match_<domain>``): item and user vectors followed by both summaries of a history.
 
     Every part is aggregated by ``key`` first, so the joins reuse that partitioning.
-    ``tokens`` carry the column ``item_vec``.
+    ``tokens`` carry the column ``item_vec``; a late one is added to the joined rows.
     """
-    joined = df.select(key, item_vec).join(
+    late = item_vec if isinstance(item_vec, LateVector) else LateVector(item_vec, [item_vec], lambda rows: rows)
+    joined = df.select(key, *late.columns).join(
         embed_mean(df, key, user_ids, user_table, user_width, "__user"), key
     )
     for domain, rows in tokens.items():
         pooled = pool_tokens(
-            rows, key, width, item_vec, (weights or {}).get(domain), f"__mean_{domain}", f"__att_{domain}"
+            rows, key, width, late.name, (weights or {}).get(domain), f"__mean_{domain}", f"__att_{domain}"
         )
         joined = joined.join(pooled, key)
-    return joined.select(
+    return late.add(joined).select(
         key,
         *[
-            F.concat(item_vec, "__user", f"__mean_{d}", f"__att_{d}").alias(f"match_{d}")
+            F.concat(late.name, "__user", f"__mean_{d}", f"__att_{d}").alias(f"match_{d}")
             for d in tokens
         ],
     )

@@ -44,3 +44,21 @@ def test_large_table_is_not_broadcast(spark, setting):
     table = spark.range(5).select("id", F.array(F.lit(1.0)).alias("vec"))
     text = plan(lookup_embedding(df, "item", table, 1, ["id"]))
     assert "BroadcastHashJoin" not in text and "__salt" in text
+
+
+def exchanges(node):
+    """All shuffles below a physical plan node."""
+    own = [node] if node.nodeName() == "Exchange" else []
+    below = node.children()
+    return own + [e for i in range(below.size()) for e in exchanges(below.apply(i))]
+
+
+@pytest.mark.parametrize("name", ["match_features", "match_summary"])
+def test_matching_shuffles_no_vectors(spark, setting, name):
+    """Ids alone cross the exchanges by sample; vectors only those of keys that several samples share."""
+    setting("spark.sql.adaptive.enabled", "false")
+    found = exchanges(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan())
+    by_sample = [e for e in found if "hashpartitioning(sample_id" in e.toString().split("\n")[0]]
+    assert by_sample
+    for e in by_sample:
+        assert "array<double>" not in e.schema().simpleString() or "__samples" in e.toString(), e.schema().simpleString()

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from convfeat.operators.lookup import fits_broadcast, frequent_ids, hashed_lookup, lookup_embedding
 from convfeat.operators.pooling import (
+    LateVector,
     TokenSource,
     attention_pool,
     embed_mean,
     item_query,
     match_features,
     packed_tokens,
+    sample_parts,
     sequence_mean,
     sequence_tokens,
     token_rows,
@@ -168,6 +170,48 @@ def test_match_features(spark, table):
     assert close(got[2][6:], np.zeros(6))
 
 
+def _match_rows(spark):
+    """Empty, missing and padded lists, a key twice with other ids, the null key twice."""
+    rows = [
+        (1, 4, [2, 0, 7], [3, 0, 4, 0], 3), (2, 0, [0, 0, 0], [0, 0, 0, 0], 0), (3, 99, None, [8, 8, 77, 5], 4), (4, 6, [5, 5, -1], None, 0),
+        (5, 2, [9, 0, 0], [1, 2, 0, 0], 2), (5, 3, [1, 0, 0], [6, 5, 4, 0], 3), (None, 1, [1, 1, 1], [1, 0, 0, 0], 1), (None, 2, [2, 2, 2], [2, 0, 0, 0], 1),
+    ]
+    return spark.createDataFrame(rows, "key long, item_id long, ids array<long>, s_1 array<long>, s_len int")
+
+
+@pytest.mark.parametrize("parts", [None, 5])
+def test_late_vectors_match_the_carried(spark, table, parts):
+    df, twice = _match_rows(spark), table.unionByName(table.where("id = 8"))
+    late = LateVector("item", ["item_id"], lambda rows: lookup_embedding(rows, "item_id", table, 3, ["key"], "item").drop("item_id"))
+    carried = late.add(df).cache()
+    for source in (table, twice):
+        sources = {1: TokenSource("table", source)}
+        tokens = {"s": sequence_tokens(carried, "key", "s", sources, 3, carry=["item"])}
+        want = sorted((r.key, r.match_s) for r in match_features(carried, "key", "item", "ids", table, 3, tokens, 3).collect())
+        tokens = {"s": packed_tokens(df, "key", "s", sources, 3, parts=parts, late=late)}
+        got = sorted((r.key, r.match_s) for r in match_features(df, "key", late, "ids", table, 3, tokens, 3).collect())
+        assert [k for k, _ in got] == [k for k, _ in want] == [1, 2, 3, 4, 5, 5]
+        assert all(close(a, b) for (_, a), (_, b) in zip(got, want))
+
+
+def test_packed_pooling_of_vectors_with_nulls(spark):
+    """A vector with a null or too few values leaves zeros as the weighted mean, packed or not."""
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (2, [None, 1.0]), (3, [4.0]), (4, [float("nan"), 0.5])], "id long, vec array<double>")
+    rows = [(k, ids, len(ids), [1.0, 0.5]) for k, ids in enumerate([[1, 9], [1, 2], [3, 1], [4, 1], []])]
+    df = spark.createDataFrame(rows, "key long, s_1 array<long>, s_len int, query array<double>")
+    plain = sequence_tokens(df, "key", "s", {1: TokenSource("table", table)}, 2, carry=["query"])
+    packed = packed_tokens(df, "key", "s", {1: TokenSource("table", table)}, 2, carry=["query"])
+    want, got = ({r.key: r.vec for r in attention_pool(t, "key", 2, "query").collect()} for t in (plain, packed))
+    assert str(got) == str({k: want[k] for k in got}) and len(got) == 5 and got[1] == [0.0, 0.0]
+
+
+def test_samples_of_a_task_are_bounded(spark, setting, monkeypatch):
+    setting("spark.sql.shuffle.partitions", "3")
+    assert sample_parts(spark.range(10)) == 3
+    monkeypatch.setattr("convfeat.operators.pooling.SAMPLES", 2)
+    assert sample_parts(spark.range(11)) == 6
+
+
 def test_attention_plan_has_one_exchange_and_no_window(spark):
     rows = [(k, p, [float(k), float(p), 1.0], [0.5, -0.5, 1.0]) for k in range(6) for p in range(3)]
     tokens = spark.createDataFrame(rows, "key long, pos int, token array<double>, query array<double>")
