@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convfeat.fixtures.history import with_histories
 from convfeat.layout import DenseFeature, FeatureLayout, IdFeature, SequenceDomain
-from convfeat.operators.lookup import keyed_join
+from convfeat.operators.lookup import keyed_join, needed_table
 
 # Market segments in name order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -158,5 +158,6 @@ def samples(
             F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("item_int_feats_11"),
             F.array(size, F.lit(-1), size * 2).alias("item_int_feats_16"),
         )
-        rows = keyed_join(rows, items, "k", ["sample_id"], events)
+        needed = needed_table(items, "k", events)
+        rows = keyed_join(rows, items if needed is None else needed, "k", ["sample_id"], events)
     return rows

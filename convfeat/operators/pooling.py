@@ -34,6 +34,20 @@ def _sums(prefix: str, vector: str, width: int, weight: str = "") -> list[Column
     return [F.expr(f"sum({factor}get({vector}, {i})) AS {prefix}{i}") for i in range(width)]
 
 
+def _holds_any(values: Column) -> Column:
+    """Does the list hold an element? The test is a lambda, so what holds it stays out of whole-stage code.
+
+    There, the terms of all dimensions make one method beyond the 8,000 bytes that the JVM compiles,
+    and it runs interpreted; outside, Spark splits them into methods that are compiled.
+    """
+    return F.exists(values, lambda _: F.lit(True))
+
+
+def _apart(vector: str) -> Column:
+    """``vector`` itself, in a projection that stays out of whole-stage code."""
+    return F.coalesce(F.when(_holds_any(F.col(vector)), F.col(vector)), F.col(vector)).alias(vector)
+
+
 def _divided(prefix: str, width: int, by: str) -> Column:
     return F.expr(f"array({', '.join(f'coalesce({prefix}{i}, 0D) / {by}' for i in range(width))})")
 
@@ -54,7 +68,8 @@ def embed_mean(
     """(key, mean vector over the non-zero ids of a list); zero vector for an empty list."""
     ids = df.select(key, F.explode_outer(F.filter(ids_col, lambda x: x != 0)).alias("__one"))
     found = lookup(ids, F.col("__one"), table, [key], "__vec")
-    summed = found.groupBy(key).agg(F.count("__one").alias("__n"), *_sums("s", "__vec", width))
+    counted = F.count(F.when(_holds_any(F.array("__one")), F.col("__one")))
+    summed = found.groupBy(key).agg(counted.alias("__n"), *_sums("s", "__vec", width))
     return summed.select(key, _divided("s", width, "greatest(__n, 1)").alias(out))
 
 
@@ -226,7 +241,7 @@ def packed_tokens(
         rows = rows.withColumn(f"__id{i}", F.when(F.col(f"f{i}") > 0, F.col(f"f{i}"))).join(F.broadcast(vectors), f"__id{i}", "left")
     vecs = [F.coalesce(f"__vec{i}", zeros(part_width)) if i in looked else zeros(part_width) for i in range(len(lists))]
     rows = rows.select(key, *carry, "pos", F.when(F.col("pos").isNotNull(), F.concat(*vecs)).alias("token"))
-    rows = add(rows).select(key, *full, "pos", "token")
+    rows = add(rows).select(key, *full, "pos", _apart("token"))
     rest = F.col("__samples") > 1
     if repeated:
         rest = rest | F.coalesce(F.arrays_overlap(F.concat(*fids), F.array(*[F.lit(f) for f in repeated])), F.lit(False))
@@ -295,7 +310,7 @@ def _pooled_in_place(
     The largest score of a sample comes from a window in that order, which holds the tokens of one
     sample at a time; both means are plain sums then.
     """
-    scored = rows.select(key, "token", F.expr(match_score(query, "token", width, weights)).alias("__score"))
+    scored = rows.select(key, _apart("token"), F.expr(match_score(query, "token", width, weights)).alias("__score"))
     peaked = scored.withColumn("__peak", F.max("__score").over(Window.partitionBy(key)))
     weighed = peaked.withColumn("__w", F.exp(F.col("__score") - F.col("__peak")))
     summed = weighed.groupBy(key).agg(
@@ -387,7 +402,7 @@ def match_features(
             rows, key, width, late.name, (weights or {}).get(domain), f"__mean_{domain}", f"__att_{domain}"
         )
         joined = joined.join(pooled, key)
-    return late.add(joined).select(
+    return late.add(joined).withColumn("__user", _apart("__user")).select(
         key,
         *[
             F.concat(late.name, "__user", f"__mean_{d}", f"__att_{d}").alias(f"match_{d}")

@@ -1,11 +1,13 @@
 """What the plans must look like at any size."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from convfeat.catalog import QUERIES
+from convfeat.fixtures.samples import samples
 from convfeat.operators.features import convert, project_layout
 from convfeat.operators.lookup import lookup_embedding
 from convfeat.operators.selection import filter_recent
@@ -62,3 +64,15 @@ def test_matching_shuffles_no_vectors(spark, setting, name):
     assert by_sample
     for e in by_sample:
         assert "array<double>" not in e.schema().simpleString() or "__samples" in e.toString(), e.schema().simpleString()
+
+
+def test_samples_shuffle_for_no_part_that_no_event_names(spark, setting, tmp_path):
+    events = [(i, datetime(2024, 1, 1, 0, 0, i), 7, "view", 1.0, f'{{"k": {k}}}' if k else None) for i, k in enumerate([3, 3, 40000, None, 60000])]
+    events = spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    parts = spark.range(1, 50000).selectExpr("id AS p_partkey", "concat('Brand#', id % 25) AS p_brand", "int(id % 50) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    setting("spark.sql.autoBroadcastJoinThreshold", "20000")
+    found = samples(spark, str(tmp_path), ["item"])
+    assert "__salt" not in plan(found)
+    assert sorted((r.sample_id, r.item_int_feats_5) for r in found.collect()) == [(0, 3), (1, 3), (2, 0), (3, None), (4, None)]
